@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import names, text as tx
 from symloom.functions.nesting import brace_pieces, match_braces
+from symloom.session import hold
 
 NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 
@@ -160,7 +161,7 @@ def variables(files: DataFrame, profile: str = "swift", text: str = "text", keep
                 .select(*kept, F.regexp_extract("d", pattern, 1).alias("name"),
                         F.trim(F.regexp_extract("d", pattern, 2)).alias("initial_value")))
     clean = tx.blank_comments(F.col(text))
-    statements = F.regexp_extract_all(clean, F.lit(r"\b(?:var|let)\s+([^\n{;]+)"), F.lit(1))
+    statements = F.regexp_extract_all(clean, F.lit(r"(?<!\b(?:if|guard|while|case)\s{1,4})(?<!,\s{0,4})\b(?:var|let)\s+([^\n{;]+)"), F.lit(1))
     binding = F.trim("b")
     return (files.select(*kept, F.explode(statements).alias("s"))
             .select(*kept, F.explode(names.split_params("s")).alias("b"))
@@ -247,8 +248,9 @@ def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[st
     """
     kept = keep or [c for c in files.columns if c != text]
     header = rf"(?s).*\b({'|'.join(kinds)})\s+({NAME})\b[^\\]*$"
-    pieces, braces = brace_pieces(F.col(text))
-    cut = files.select(*kept, pieces.alias("_p"), braces.alias("_b"), match_braces(braces).alias("_m"))
+    pieces, braces = brace_pieces(F.col("_text"))
+    cut = hold(files.select(*kept, F.col(text).alias("_text")), "_x", F.struct(pieces.alias("p"), braces.alias("b")))
+    cut = cut.select(*kept, F.col("_x.p").alias("_p"), F.col("_x.b").alias("_b"), match_braces("_x.b").alias("_m"))
 
     def inside(at: Column, end: Column) -> Column:
         return F.transform(F.slice("_p", at + 2, end - at), lambda p, k: F.struct(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from symloom.functions import names, text as tx
 from symloom.functions.nesting import function_scopes, type_scopes
 from symloom.operators.lexical import LITERAL
+from symloom.session import hold
 
 # Callees, labels and types whose string arguments must stay readable.
 DEBUG_CALLEES = ["print", "NSLog", "debugPrint", "assert", "fatalError", "error", "info", "warning", "log", "debug",
@@ -91,12 +92,13 @@ def literal_table(files: DataFrame, profile: str = "swift", text: str = "text",
         rows = rows.withColumn("line_no", F.col("i") + 1).withColumn("_l", F.transform(parts(F.col("line")), lambda z: F.struct(
             z["ordinal"].alias("ordinal"), z["value"].alias("value"), markup_reasons(z["value"], z["before"]).alias("reasons"))))
     else:
+        files = files.select(*kept, F.col(text))
         clean = F.split(tx.blank_comments(F.col(text)), "\n")
         z = F.col("_z")
         numbered = F.filter(F.transform(clean, lambda l, i: F.struct((i + 1).alias("no"), l.alias("s"))),
                             lambda x: x["s"].rlike(r'["{}@]|\bfunc\b'))
         ups, downs = F.transform(z, lambda x: F.regexp_count(x["s"], F.lit(r"\{"))), F.transform(z, lambda x: F.regexp_count(x["s"], F.lit(r"\}")))
-        located = (files.select(*kept, numbered.alias("_z"))
+        located = (hold(files, "_z", numbered).drop(text)
                    .withColumn("_f", function_scopes(ups, downs, F.transform(z, lambda x: x["s"].rlike(_SCOPE))))
                    .withColumn("_t", type_scopes(ups, downs, F.transform(z, lambda x: x["s"].rlike(_TYPE)))))
 

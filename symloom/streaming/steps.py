@@ -69,7 +69,7 @@ def step_state(lines: DataFrame, run: str = "run_id", order: str = "ts") -> Data
     aggs = []
     for key, _ in STEPS:
         on = F.col("step") == key
-        aggs.append(F.max_by(F.when(on, F.col("action")), F.when(on & F.col("marked"), F.col(order))).alias(f"a_{key}"))
+        aggs.append(F.max_by(F.when(on, F.col("action")), F.when(on & F.col("marked"), F.struct(order, "line"))).alias(f"a_{key}"))
         aggs.append(F.coalesce(F.max(on & (~F.col("marked") | F.col("action").isin("done", "skip"))), F.lit(False)).alias(f"s_{key}"))
     state = rows.groupBy(run).agg(*aggs)
     seen = [F.col(f"`s_{k}`") for k, _ in STEPS]
