@@ -14,6 +14,7 @@ from symloom.functions.text import _brace_span
 from symloom.operators.lexical import symbols as file_symbols
 from symloom.operators.mapping import closest_symbol
 from symloom.operators.tokens import first_file, occurrences
+from symloom.session import cut_lineage
 
 # The wording of a review record.
 INSTRUCTION = ("In the following Swift code, find all identifiers related to sensitive logic. "
@@ -23,12 +24,18 @@ ANSWER = '{\n  "is_sensitive": true|false,\n  "reasoning": "<explanation>"\n}'
 
 def declaration_sites(idents: DataFrame, files: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(name, path, decl_line): in the first file with the name, the line that
-    declares it, else that of its closest symbol, else null."""
-    first = first_file(idents, files, path, text).select("name", "path")
-    kept = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    syms = file_symbols(kept, "swift", "text", ["path"])
+    declares it, else that of its closest symbol, else null.
+
+    The corpus is tokenized once for the first files; that small result is
+    written down, and the later steps read only the files it names.
+    """
+    first = cut_lineage(first_file(idents, files, path, text).select("name", "path"))
+    kept = (files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+            .join(first.select("path").distinct(), "path", "left_semi"))
+    syms = cut_lineage(file_symbols(kept, "swift", "text", ["path"]))
     near = closest_symbol(first.select("path", F.col("name").alias("ident")), syms, ["path"])
     wanted = first.join(near.select("path", F.col("ident").alias("name"), nm.basename("symbol").alias("alias")), ["path", "name"], "left")
+    wanted = cut_lineage(wanted)
     lookups = wanted.select(F.explode(F.array("name", "alias")).alias("name")).where("name is not null")
     defs = (occurrences(kept, lookups, ["path"], "text").where("role = 'definition'")
             .groupBy("path", "name").agg(F.min("line_no").alias("line")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from symloom.queries import corpus, graph, lexical, names, tokens  # noqa: F401
+from symloom.queries import corpus, graph, lexical, names, policy, tokens  # noqa: F401
 from symloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf):
-    return QUERIES["attr_values_class"](spark, sf)
+    return QUERIES["policy_presence"](spark, sf)
