@@ -244,7 +244,8 @@ def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[st
 
     The text is cut at its braces; a piece that ends in a header starts a
     block, and the partner of its brace ends it. ``outer`` is the body with
-    every nested block reduced to ``{}``.
+    every nested block reduced to ``{}``; ``outer_lines`` keeps what stands on
+    the line of a nested block's opening brace.
     """
     kept = keep or [c for c in files.columns if c != text]
     header = rf"(?s).*\b({'|'.join(kinds)})\s+({NAME})\b[^\\]*$"
@@ -264,10 +265,14 @@ def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[st
         body = F.array_join(F.transform(parts, lambda z: F.concat(F.when(z["k"] > 0, z["b"]).otherwise(""), z["p"])), "")
         outer = F.array_join(F.transform(F.filter(parts, lambda z: z["d"] == level),
                                          lambda z: F.concat(F.when(z["k"] > 0, "{}").otherwise(""), z["p"])), "")
+        first_lines = F.array_join(F.transform(
+            F.filter(parts, lambda z: (z["d"] == level) | ((z["d"] == level + 1) & (z["b"] == "{") & (z["k"] > 0))),
+            lambda z: F.when(z["d"] > level, F.concat(F.lit("{"), F.substring_index(z["p"], "\n", 1)))
+            .otherwise(F.concat(F.when(z["k"] > 0, "}").otherwise(""), z["p"]))), "")
         found = (partner > at) & head.rlike(header)
         return F.when(found, F.struct(
             F.regexp_extract(head, header, 1).alias("kind"), F.regexp_extract(head, header, 2).alias("name"),
-            at.alias("ordinal"), body.alias("body"), outer.alias("outer")))
+            at.alias("ordinal"), body.alias("body"), outer.alias("outer"), first_lines.alias("outer_lines")))
 
     found = F.filter(F.transform("_m.partner", block), lambda b: b.isNotNull())
     return cut.select(*kept, F.explode(found).alias("b")).select(*kept, "b.*")
@@ -278,13 +283,13 @@ FUNC_LINE = (r"(?m)^[ \t]*((?:@[\w:]+\s*)*\s*((?:\w+\s+)*)func\s+(\w+)\s*(?:<[^>
 
 def top_level_funcs(block_rows: DataFrame) -> DataFrame:
     """Functions declared directly in a block: func_line, mods, func, params_src."""
-    kept = [c for c in block_rows.columns if c not in ("body", "outer")]
-    return _func_rows(block_rows, "outer", kept)
+    kept = [c for c in block_rows.columns if c not in ("body", "outer", "outer_lines")]
+    return _func_rows(block_rows, "outer_lines", kept)
 
 
 def all_funcs(block_rows: DataFrame) -> DataFrame:
     """Functions anywhere in a block."""
-    kept = [c for c in block_rows.columns if c not in ("body", "outer")]
+    kept = [c for c in block_rows.columns if c not in ("body", "outer", "outer_lines")]
     return _func_rows(block_rows, "body", kept)
 
 

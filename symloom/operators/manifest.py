@@ -9,24 +9,26 @@ from symloom.operators.graph import ancestor_path
 from symloom.session import salted_join
 
 
+def links(df: DataFrame, owner: str, children: str, up: str, down: str) -> DataFrame:
+    """(up, down) rows from a table that lists children in an array."""
+    return df.select(F.col(owner).alias(up), F.explode(children).alias(down))
+
+
 def resolve_targets(targets: DataFrame, phases: DataFrame, build_files: DataFrame, file_refs: DataFrame,
                     groups: DataFrame | None = None, suffix: str | None = ".swift") -> DataFrame:
     """(target, path): target → phase → build file → file reference → path.
 
-    Link tables are exploded to (id, child) rows and joined by id. The path of
-    a file's group is put in front where groups are given.
+    ``targets`` has (target, phase_id), ``phases`` (phase_id, build_id),
+    ``build_files`` (build_id, file_ref), ``file_refs`` (file_ref, path). The
+    path of a file's group is put in front where groups are given.
     """
-    t = targets.select(F.col("name").alias("target"), F.explode("phases").alias("phase_id"))
-    p = phases.select(F.col("id").alias("phase_id"), F.explode("files").alias("build_id"))
-    b = build_files.select(F.col("id").alias("build_id"), "file_ref")
-    r = file_refs.select(F.col("id").alias("file_ref"), F.coalesce("path", "name").alias("path"))
-    if suffix:
-        r = r.where(F.col("path").endswith(suffix))
+    refs = file_refs.where(F.col("path").endswith(suffix)) if suffix else file_refs
     if groups is not None:
-        paths = group_paths(groups)
-        r = r.join(paths, r["file_ref"] == paths["child"], "left").select(
-            "file_ref", F.when(F.coalesce("folder", F.lit("")) == "", F.col("path")).otherwise(F.concat_ws("/", "folder", "path")).alias("path"))
-    return t.join(p, "phase_id").join(b, "build_id").join(r, "file_ref").select("target", "path").distinct()
+        refs = (refs.join(group_paths(groups).withColumnRenamed("child", "file_ref"), "file_ref", "left")
+                .withColumn("path", F.when(F.coalesce("folder", F.lit("")) == "", F.col("path")).otherwise(F.concat_ws("/", "folder", "path"))))
+    owned = salted_join(phases, targets.distinct(), "phase_id", F.col("build_id"))
+    return (owned.select("target", "build_id").join(build_files, "build_id").join(refs, "file_ref")
+            .select("target", "path").distinct())
 
 
 def group_paths(groups: DataFrame) -> DataFrame:

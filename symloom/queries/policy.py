@@ -144,7 +144,7 @@ def _configs(spark, sf):
       {'section': 'include', 'category': 'encryption', 'pattern': 'lone' || CAST(p_size AS STRING), 'is_wildcard': false}], recursive := true) FROM (SELECT p_partkey AS config_id, p_size FROM part)
     UNION ALL SELECT p_partkey, 'exclude', 'obfuscation', 'c?', true FROM part WHERE p_size % 4 <> 0""")
 def policy_table(spark, sf):
-    rows = ls.policy_table(_configs(spark, sf)).where(~F.col("pattern").startswith("{"))
+    rows = ls.policy_table(_configs(spark, sf))
     return rows.select("config_id", "section", "category", "pattern", "is_wildcard")
 
 

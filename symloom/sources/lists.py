@@ -10,7 +10,7 @@ import json
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,55 +131,51 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def policy_table(docs: DataFrame, column: str = "value") -> DataFrame:
-    """(config_id, section, category, position, pattern, is_wildcard), cleaned and de-duplicated.
+    """(config key, section, category, position, pattern, is_wildcard), cleaned and de-duplicated.
 
     Unknown categories are dropped, a lone string counts as a list of one,
     blanks and entries that are not strings are dropped, the first of equal
     entries is kept.
     """
     key = [c for c in docs.columns if c != column]
-    c = F.col(column)
-    raw = docs.select(*key, F.explode(F.array(*[
-        F.struct(F.lit(s).alias("section"), F.lit(k).alias("category"),
-                 F.get_json_object(c, f"$.{s}.{k}").alias("value"))
-        for s in ("include", "exclude") for k in SECTIONS[s]])).alias("e")).select(*key, "e.*")
-    is_list = F.ltrim("value").startswith("[")
-    # An array's elements are read as raw JSON text, so that only strings (in quotes) remain.
-    items = F.when(is_list, F.transform(
-        F.filter(_json_elements(F.col("value")), lambda v: v.startswith('"')),
-        lambda v: F.from_json(F.concat(F.lit("["), v, F.lit("]")), T.ArrayType(T.StringType()))[0]))
-    items = items.otherwise(F.array("value"))
-    rows = (raw.where("value is not null")
-            .select(*key, "section", "category", F.posexplode(items).alias("position", "pattern"))
+    parsed = docs.select(*key, F.try_parse_json(column).alias("v"))
+
+    def entries(section: str, category: str) -> Column:
+        path = f"$.{section}.{category}"
+        raw = F.try_variant_get("v", path, "variant")
+        kind = F.schema_of_variant(raw)
+        items = F.transform(F.filter(F.try_variant_get("v", path, "array<variant>"), lambda e: F.schema_of_variant(e) == "STRING"),
+                            lambda e: F.try_variant_get(e, "$", "string"))
+        return F.struct(F.lit(section).alias("section"), F.lit(category).alias("category"),
+                        F.when(kind == "STRING", F.array(F.try_variant_get("v", path, "string"))).otherwise(items).alias("items"))
+
+    every = F.array(*[entries(s, c) for s in ("include", "exclude") for c in SECTIONS[s]])
+    rows = (parsed.select(*key, F.explode(every).alias("e"))
+            .select(*key, "e.section", "e.category", F.posexplode("e.items").alias("position", "pattern"))
             .withColumn("pattern", F.trim("pattern")).where("pattern <> ''"))
     first = rows.groupBy(*key, "section", "category", "pattern").agg(F.min("position").alias("position"))
     return first.withColumn("is_wildcard", F.col("pattern").rlike(r"[*?]"))
 
 
-def _json_elements(array_text):
-    """Top-level elements of a JSON array of scalars, as raw text."""
-    return F.regexp_extract_all(array_text, F.lit(r'"(?:\\.|[^"\\])*"|[^\s,\[\]"]+'), F.lit(0))
-
-
 def policy_findings(docs: DataFrame, column: str = "value") -> DataFrame:
-    """(config_id, finding, item) for unknown top keys and wrong value types."""
+    """(config key, finding, item) for unknown top keys and wrong value types."""
     key = [c for c in docs.columns if c != column]
-    c = F.col(column)
-    top = F.map_keys(F.from_json(c, T.MapType(T.StringType(), T.StringType())))
+    parsed = docs.select(*key, F.try_parse_json(column).alias("v"))
+    top = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
     unknown = F.filter(F.array_except(top, F.array(*[F.lit(s) for s in SECTIONS])), lambda k: ~k.startswith("_"))
-    findings = docs.select(*key, F.lit("unknown_key").alias("finding"), F.explode(unknown).alias("item"))
-    for section, fields in SECTIONS.items():
-        value = F.get_json_object(c, f"$.{section}")
-        bad = docs.where(value.isNotNull() & ~F.ltrim(value).startswith("{"))
-        findings = findings.unionByName(bad.select(*key, F.lit("not_an_object").alias("finding"), F.lit(section).alias("item")))
-        if section in ("include", "exclude"):
-            for field in fields:
-                v = F.get_json_object(c, f"$.{section}.{field}")
-                raw_string = c.rlike(r'"' + field + r'"\s*:\s*"')
-                bad = docs.where(v.isNotNull() & ~F.ltrim(v).startswith("[") & ~raw_string)
-                findings = findings.unionByName(
-                    bad.select(*key, F.lit("not_a_list").alias("finding"), F.lit(f"{section}.{field}").alias("item")))
-    return findings
+
+    def found(finding: str, item: str, bad: Column) -> Column:
+        return F.when(bad, F.struct(F.lit(finding).alias("finding"), F.lit(item).alias("item")))
+
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+
+    checks = [found("not_an_object", s, ~kind(f"$.{s}").startswith("OBJECT")) for s in SECTIONS]
+    checks += [found("not_a_list", f"{s}.{c}", ~kind(f"$.{s}.{c}").rlike("^(ARRAY|STRING)"))
+               for s in ("include", "exclude") for c in SECTIONS[s]]
+    all_found = F.concat(F.transform(unknown, lambda k: F.struct(F.lit("unknown_key").alias("finding"), k.alias("item"))),
+                         F.filter(F.array(*checks), lambda f: f.isNotNull()))
+    return parsed.select(*key, F.explode(all_found).alias("f")).select(*key, "f.finding", "f.item")
 
 
 def load_policy(path: str) -> dict[str, list[str]]:

@@ -116,3 +116,18 @@ def tail_stream(lines: DataFrame, n: int = 10) -> DataFrame:
         yield pd.DataFrame({"run_id": [key[0]], "lines": [[line for _, line in rows]]})
 
     return lines.groupBy("run_id").applyInPandasWithState(update, _TAIL_OUT, _TAIL_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def keep_latest(stream: DataFrame, path: str, checkpoint: str):
+    """Run an update-mode stream once over what is there, appending each batch's updates under ``path``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+
+    return (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def latest(updates: DataFrame, key: str = "run_id") -> DataFrame:
+    """The last update of every key."""
+    others = [c for c in updates.columns if c not in (key, "batch_id")]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("u")).select(key, "u.*")
