@@ -55,6 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that was read in fewer pieces.
+
+    Text work costs far more than moving the rows, and a table that already
+    has enough partitions, as any large one does, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cache a table that several branches of one plan read; may spill to disk."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
