@@ -95,14 +95,15 @@ def aliases(files: DataFrame, text: str = "text", keep: list[str] | None = None)
 ACCESS_LEVELS = ["open", "public", "internal", "fileprivate", "private"]
 _ATTRS = r"((?:@[\w:.]+(?:\([^)\n]*\))?\s*)*)"
 _MODS = r"((?:\w+(?:\(set\))?\s+)*?)"
+_KEYWORDS = r"\b(?:class|struct|enum|protocol|actor|extension|func|var|let|init|deinit|typealias)\b"
 _DECLARATION = (rf"^\s*{_ATTRS}{_MODS}(class|struct|enum|protocol|actor|extension|func|var|let|init|deinit|typealias)"
                 rf"\b\s*([A-Za-z_`][\w.`]*)?(.*)$")
 
 
-def declaration_columns(line: Column) -> dict[str, Column]:
-    """Columns of the declaration on a line (name is empty where there is none)."""
+def declaration_columns(parts: Column) -> dict[str, Column]:
+    """Columns of the declaration whose pattern groups are ``parts`` (name is empty where there is none)."""
     def part(i: int) -> Column:
-        return F.regexp_extract(line, _DECLARATION, i)
+        return F.get(parts, F.lit(i - 1))
 
     keyword, mods, rest = part(3), F.split(F.trim(part(2)), r"\s+"), part(5)
     attrs = F.regexp_extract_all(part(1), F.lit(r"@([\w:.]+)"), F.lit(1))
@@ -137,10 +138,11 @@ def declarations(files: DataFrame, text: str = "text") -> DataFrame:
     """
     from symloom.operators.scopes import line_scopes
 
-    scoped = line_scopes(files.withColumn(text, tx.blank_comments(F.col(text))), text)
-    cols = declaration_columns(F.col("line"))
-    rows = (scoped.where(~F.col("line").rlike(r"^\s*(?:@\w+\s+)*import\b"))
-            .select("*", *[c.alias(n) for n, c in cols.items()]).where("name <> ''"))
+    scoped = line_scopes(files.withColumn(text, tx.blank_comments(F.col(text))), text, _KEYWORDS)
+    cols = declaration_columns(F.col("_d"))
+    scoped = hold(scoped.where(F.col("line").rlike(_KEYWORDS) & ~F.col("line").rlike(r"^\s*(?:@\w+\s+)*import\b")),
+                  "_d", tx.groups("line", _DECLARATION, 5)).where("_d is not null")
+    rows = scoped.select("*", *[c.alias(n) for n, c in cols.items()]).where("name <> ''")
     node_id = F.xxhash64("project", "rel_path", "line_no", F.col("col"), "kind", "name")
     return (rows.withColumn("attributes", F.concat("carried_attrs", "attributes"))
             .withColumn("col", F.length(F.regexp_extract("line", r"^(\s*)", 1)) + 1)
@@ -239,8 +241,9 @@ def wrapper_candidates(files: DataFrame, text: str = "text") -> DataFrame:
             .where("not declared").select("name"))
 
 
-def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Balanced ``kind name … { body }`` blocks: kind, name, body, outer.
+def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[str] | None = None,
+           parts: tuple[str, ...] = ("body", "outer", "outer_lines")) -> DataFrame:
+    """Balanced ``kind name … { body }`` blocks: kind, name, ordinal and the wanted parts.
 
     The text is cut at its braces; a piece that ends in a header starts a
     block, and the partner of its brace ends it. ``outer`` is the body with
@@ -260,19 +263,19 @@ def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[st
 
     def block(partner: Column, at: Column) -> Column:
         head = F.get("_p", at)
-        parts = inside(at, partner)
+        cuts = inside(at, partner)
         level = F.get(F.col("_m.depth"), at)
-        body = F.array_join(F.transform(parts, lambda z: F.concat(F.when(z["k"] > 0, z["b"]).otherwise(""), z["p"])), "")
-        outer = F.array_join(F.transform(F.filter(parts, lambda z: z["d"] == level),
+        body = F.array_join(F.transform(cuts, lambda z: F.concat(F.when(z["k"] > 0, z["b"]).otherwise(""), z["p"])), "")
+        outer = F.array_join(F.transform(F.filter(cuts, lambda z: z["d"] == level),
                                          lambda z: F.concat(F.when(z["k"] > 0, "{}").otherwise(""), z["p"])), "")
         first_lines = F.array_join(F.transform(
-            F.filter(parts, lambda z: (z["d"] == level) | ((z["d"] == level + 1) & (z["b"] == "{") & (z["k"] > 0))),
+            F.filter(cuts, lambda z: (z["d"] == level) | ((z["d"] == level + 1) & (z["b"] == "{") & (z["k"] > 0))),
             lambda z: F.when(z["d"] > level, F.concat(F.lit("{"), F.substring_index(z["p"], "\n", 1)))
             .otherwise(F.concat(F.when(z["k"] > 0, "}").otherwise(""), z["p"]))), "")
         found = (partner > at) & head.rlike(header)
         return F.when(found, F.struct(
             F.regexp_extract(head, header, 1).alias("kind"), F.regexp_extract(head, header, 2).alias("name"),
-            at.alias("ordinal"), body.alias("body"), outer.alias("outer"), first_lines.alias("outer_lines")))
+            at.alias("ordinal"), *[{"body": body, "outer": outer, "outer_lines": first_lines}[p].alias(p) for p in parts]))
 
     found = F.filter(F.transform("_m.partner", block), lambda b: b.isNotNull())
     return cut.select(*kept, F.explode(found).alias("b")).select(*kept, "b.*")

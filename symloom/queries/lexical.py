@@ -167,7 +167,7 @@ def function_inventory(spark, sf):
 def functions_with_members(spark, sf):
     """Variables declared directly in a function's body."""
     files = swift_files(spark, sf).select("file_id", "text")
-    bodies = lex.blocks(files.withColumn("text", F.regexp_replace("text", r"\bfunc\s+(\w+)\s*\([^{]*\{", "func $1 {")), ["func"], keep=["file_id"])
+    bodies = lex.blocks(files.withColumn("text", F.regexp_replace("text", r"\bfunc\s+(\w+)\s*\([^{]*\{", "func $1 {")), ["func"], keep=["file_id"], parts=("outer",))
     inner = lex.variables(bodies.select("file_id", F.col("name").alias("func"), F.col("outer").alias("text")))
     return inner.select("file_id", "func", F.col("name").alias("variable"), F.col("initial_value").alias("value"))
 
@@ -180,7 +180,7 @@ def blocks_code(spark, sf):
     from symloom.functions.text import strip_comments
 
     files = swift_files(spark, sf).withColumn("text", strip_comments("text"))
-    return lex.blocks(files, ["class", "struct", "enum", "protocol", "actor", "extension"], keep=["file_id"]).select("file_id", "kind", "name")
+    return lex.blocks(files, ["class", "struct", "enum", "protocol", "actor", "extension"], keep=["file_id"], parts=()).select("file_id", "kind", "name")
 
 
 @query("top_level_functions", f"""
@@ -192,7 +192,7 @@ def top_level_functions(spark, sf):
     from symloom.functions.text import strip_comments
 
     files = swift_files(spark, sf).withColumn("text", strip_comments("text"))
-    found = lex.blocks(files, ["class", "struct", "enum", "protocol", "actor", "extension"], keep=["file_id"])
+    found = lex.blocks(files, ["class", "struct", "enum", "protocol", "actor", "extension"], keep=["file_id"], parts=("outer_lines",))
     return lex.top_level_funcs(found).select("file_id", "name", "func", "mods")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from symloom.operators import literals as lit, rules as rl, scopes
 from symloom.queries.derived import NODES_CTE, SWIFT_PATH, node_rows, swift_files, table
 from symloom.queries.registry import query
+from symloom.session import cut_lineage
 
 _K = "CAST(p_partkey AS STRING)"
 
@@ -114,7 +115,7 @@ def protocol_requirements(spark, sf):
     SELECT p_partkey AS file_id, unnest([{{'name': 'load' || {_K}, 'matched': '', 'outside': true}}, {{'name': 'draw' || {_K}, 'matched': {_PROTO}, 'outside': true}}, {{'name': 'nested' || {_K}, 'matched': '', 'outside': true}},
       {{'name': 'extra' || {_K}, 'matched': '', 'outside': true}}, {{'name': 'peek' || {_K}, 'matched': '', 'outside': false}}, {{'name': 'poke' || {_K}, 'matched': '', 'outside': false}}, {{'name': 'free' || {_K}, 'matched': '', 'outside': false}}], recursive := true) FROM part""")
 def protocol_implementations(spark, sf):
-    out = scopes.protocol_impl(_funcs(spark, sf), scopes.protocol_requirements(swift_files(spark, sf)), ["file_id", "name", "line_no"])
+    out = scopes.protocol_impl(cut_lineage(_funcs(spark, sf)), scopes.protocol_requirements(swift_files(spark, sf)), ["file_id", "name", "line_no"])
     return out.select("file_id", "name", F.array_join("matched_internal_protocols", "|").alias("matched"), F.col("has_external_protocols_in_scope").alias("outside"))
 
 
@@ -139,8 +140,8 @@ def global_actor_types(spark, sf):
       {{'name': 'peek' || {_K}, 'blocked_by': NULL}}, {{'name': 'poke' || {_K}, 'blocked_by': 'actor_isolated'}}, {{'name': 'free' || {_K}, 'blocked_by': NULL}}], recursive := true) FROM part""")
 def wrap_eligibility(spark, sf):
     files = swift_files(spark, sf)
-    funcs = scopes.resolve_parents(_funcs(spark, sf), scopes.actor_types(files), scopes.global_actor_types(files), scopes.local_types(files))
-    funcs = scopes.protocol_impl(funcs, scopes.protocol_requirements(files), ["file_id", "name", "line_no"])
+    funcs = scopes.protocol_impl(cut_lineage(_funcs(spark, sf)), scopes.protocol_requirements(files), ["file_id", "name", "line_no"])
+    funcs = scopes.resolve_parents(funcs, scopes.actor_types(files), scopes.global_actor_types(files), scopes.local_types(files))
     return rl.eligible(funcs, rl.file_types(files, "file_id"), "file_id").select("file_id", "name", "blocked_by")
 
 
