@@ -95,7 +95,7 @@ def aliases(files: DataFrame, text: str = "text", keep: list[str] | None = None)
 ACCESS_LEVELS = ["open", "public", "internal", "fileprivate", "private"]
 _ATTRS = r"((?:@[\w:.]+(?:\([^)\n]*\))?\s*)*)"
 _MODS = r"((?:\w+(?:\(set\))?\s+)*?)"
-_KEYWORDS = r"\b(?:class|struct|enum|protocol|actor|extension|func|var|let|init|deinit|typealias)\b"
+_KEYWORDS = r"\b(?:class|struct|enum|protocol|actor|extension|func|var|let|init|deinit|typealias)\b|^\s*(?:indirect\s+)?case\s"
 _DECLARATION = (rf"^\s*{_ATTRS}{_MODS}(class|struct|enum|protocol|actor|extension|func|var|let|init|deinit|typealias)"
                 rf"\b\s*([A-Za-z_`][\w.`]*)?(.*)$")
 
@@ -130,8 +130,33 @@ def declaration_columns(parts: Column) -> dict[str, Column]:
     }
 
 
+_CASE = r'[a-z_]\w*(?:\([^)\n]*\))?(?:\s*=\s*(?:"[^"\n]*"|[\w.]+))?'
+
+
+def _payload(case: Column) -> tuple[Column, Column]:
+    """Labels (``_`` without one) and types of a case's associated values."""
+    items = F.filter(F.transform(names.split_params(F.regexp_extract(case, r"\((.*)\)", 1)), lambda x: F.trim(x)), lambda p: p != "")
+    return (F.transform(items, lambda p: F.when(p.contains(":"), F.trim(F.substring_index(p, ":", 1))).otherwise("_")),
+            F.transform(items, lambda p: F.trim(F.regexp_replace(p, r"^[^:]*:", ""))))
+
+
+def _case_nodes(listed: Column) -> Column:
+    empty = F.array().cast("array<string>")
+
+    def node(raw: Column) -> Column:
+        case = F.trim(raw)
+        labels, types = _payload(case)
+        none = F.lit(None).cast("string")
+        return F.struct(
+            F.regexp_extract(case, rf"^({NAME})", 1).alias("name"), F.lit("case").alias("kind"), F.lit("internal").alias("access"),
+            empty.alias("attributes"), empty.alias("adopted"), F.nullif(F.regexp_extract(case, r"=\s*(.*)$", 1), F.lit("")).alias("initial_value"),
+            labels.alias("params"), types.alias("param_types"), none.alias("return_type"))
+
+    return F.transform(names.split_params(listed), node)
+
+
 def declarations(files: DataFrame, text: str = "text") -> DataFrame:
-    """Declaration nodes of code files, one row per declaration line.
+    """Declaration nodes of code files, one row per declaration or enum case.
 
     Attributes on lines of their own belong to the next declaration. The
     parent is the innermost type or function whose braces enclose the line.
@@ -139,14 +164,24 @@ def declarations(files: DataFrame, text: str = "text") -> DataFrame:
     from symloom.operators.scopes import line_scopes
 
     scoped = line_scopes(files.withColumn(text, tx.blank_comments(F.col(text))), text, _KEYWORDS)
+    scoped = hold(scoped.where(~F.col("line").rlike(r"^\s*(?:@\w+\s+)*import\b")), "_d", tx.groups("line", _DECLARATION, 5))
     cols = declaration_columns(F.col("_d"))
-    scoped = hold(scoped.where(F.col("line").rlike(_KEYWORDS) & ~F.col("line").rlike(r"^\s*(?:@\w+\s+)*import\b")),
-                  "_d", tx.groups("line", _DECLARATION, 5)).where("_d is not null")
-    rows = scoped.select("*", *[c.alias(n) for n, c in cols.items()]).where("name <> ''")
+    shared = [c for c in scoped.columns if c != "_d"]
+    one = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    in_enum = (F.col("_parent.kind") == "enum") & (F.col("depth") == F.col("type_depth") + 1)
+    many = F.when(in_enum, _case_nodes(F.regexp_extract("line", rf"^\s*(?:indirect\s+)?case\s+({_CASE}(?:\s*,\s*{_CASE})*)", 1)))
+    rows = (scoped.select(*shared, F.explode(F.when(F.col("_d").isNotNull(), one).otherwise(many)).alias("n"))
+            .select(*shared, "n.*").where("name <> ''"))
     node_id = F.xxhash64("project", "rel_path", "line_no", F.col("col"), "kind", "name")
+    # The parent's id follows from its header line, so no join is needed to find it.
+    head = rf"^(\s*).*?\b(class|struct|enum|protocol|actor|extension)\s+([A-Za-z_`][\w.`]*)"
+    part = lambda i: F.regexp_extract("_head.s", head, i)
+    parent_id = F.when(F.col("_head").isNotNull(), F.xxhash64(
+        "project", "rel_path", F.col("_head.no"), F.length(part(1)) + 1, part(2), part(3)))
     return (rows.withColumn("attributes", F.concat("carried_attrs", "attributes"))
-            .withColumn("col", F.length(F.regexp_extract("line", r"^(\s*)", 1)) + 1)
-            .select("project", "file_id", "rel_path", node_id.alias("node_id"), "name", "kind", "access",
+            .withColumn("col", F.when(F.col("kind") == "case", F.position(F.col("name"), F.col("line")))
+                        .otherwise(F.length(F.regexp_extract("line", r"^(\s*)", 1)) + 1))
+            .select("project", "file_id", "rel_path", node_id.alias("node_id"), parent_id.alias("parent_id"), "name", "kind", "access",
                     "attributes", "adopted",
                     F.struct(F.col("rel_path").alias("file"), F.col("line_no").alias("line"), "col").alias("loc"),
                     "initial_value", "params", "param_types", "return_type",
@@ -172,22 +207,17 @@ def variables(files: DataFrame, profile: str = "swift", text: str = "text", keep
             .where("name <> ''"))
 
 
-_CASE = r'[a-z_]\w*(?:\([^)\n]*\))?(?:\s*=\s*(?:"[^"\n]*"|[\w.]+))?'
-
-
 def enum_cases(files: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Enum cases with labels and types of associated values (``_`` without a label)."""
     kept = keep or [c for c in files.columns if c != text]
     clean = tx.blank_comments(F.col(text))
     found = F.regexp_extract_all(clean, F.lit(rf"(?m)(?:^|[{{;])\s*(?:indirect\s+)?case\s+({_CASE}(?:\s*,\s*{_CASE})*)"), F.lit(1))
     case = F.trim("c")
-    payload = F.regexp_extract(case, r"\((.*)\)", 1)
-    items = F.filter(F.transform(names.split_params(payload), lambda x: F.trim(x)), lambda p: p != "")
+    labels, types = _payload(case)
     return (files.select(*kept, F.explode(found).alias("s"))
             .select(*kept, F.explode(names.split_params("s")).alias("c"))
             .select(*kept, F.regexp_extract(case, rf"^({NAME})", 1).alias("name"),
-                    F.transform(items, lambda p: F.when(p.contains(":"), F.trim(F.substring_index(p, ":", 1))).otherwise("_")).alias("labels"),
-                    F.transform(items, lambda p: F.trim(F.regexp_replace(p, r"^[^:]*:", ""))).alias("types"))
+                    labels.alias("labels"), types.alias("types"))
             .where("name <> ''"))
 
 

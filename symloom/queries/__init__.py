@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symloom.queries import corpus, graph, lexical, mapping, names, policy, rules, steps, tokens  # noqa: F401
+from symloom.queries import corpus, graph, lexical, mapping, names, plans, policy, rules, steps, tokens  # noqa: F401
 from symloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

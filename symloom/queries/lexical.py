@@ -70,6 +70,8 @@ _DECLS = ", ".join([
     _decl("'url'", "variable", 11, init="'\"' || p_type || '\"'", parent=_P),
     _decl(f"'draw' || {_K}", "function", 24, attrs="'override'", params="'rect'", types="'Rect' || CAST(p_partkey % 3 AS STRING)", parent=_P),
     _decl(f"'Mode' || {_K}", "enum", 25, adopted="'String'", parent=_P),
+    _decl(f"'on' || {_K}", "case", 26, parent=f"'Mode' || {_K}"),
+    _decl("'off'", "case", 26, params="'level|_'", types="'Int|Double'", parent=f"'Mode' || {_K}"),
     _decl(f"'nested' || {_K}", "function", 28, ret="'some View'", parent=_P),
     _decl(f"'inner' || {_K}", "function", 29, parent=_P),
     _decl("'Part' || CAST(p_partkey % 50 AS STRING)", "extension", 33, adopted="'Printable' || CAST(p_partkey % 4 AS STRING)"),
