@@ -19,8 +19,8 @@ def scan_files(spark: SparkSession, root: str, suffixes: Iterable[str] = (".swif
                skip_dirs: Iterable[str] = SKIP_DIRS) -> DataFrame:
     """One row per file under ``root``; excluded folders are filtered by path."""
     globs = ",".join("*" + s for s in suffixes)
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "{" + globs + "}").text(root)
+    raw = (spark.read.option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "{" + globs + "}").text(root, wholetext=True)
            .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
     base = root.rstrip("/")
     rel = F.substring_index(F.col("path"), base + "/", -1)

@@ -47,7 +47,7 @@ def parse_rules(docs: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_rules(spark: SparkSession, *paths: str) -> DataFrame:
-    return parse_rules(spark.read.option("wholetext", True).text(list(paths)))
+    return parse_rules(spark.read.text(list(paths), wholetext=True))
 
 
 def rule_file_globs(rules: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def parse_targets(docs: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    return parse_targets(spark.read.option("wholetext", True).text(path))
+    return parse_targets(spark.read.text(path, wholetext=True))
 
 
 def parse_forbidden(docs: DataFrame, column: str = "value") -> DataFrame:
@@ -94,7 +94,7 @@ def parse_forbidden(docs: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_forbidden(spark: SparkSession, path: str) -> DataFrame:
-    return parse_forbidden(spark.read.option("wholetext", True).text(path))
+    return parse_forbidden(spark.read.text(path, wholetext=True))
 
 
 def read_pool(spark: SparkSession, directory: str, kinds: Iterable[str]) -> DataFrame:
@@ -118,7 +118,7 @@ def read_clusters(spark: SparkSession, directory: str, kinds: Iterable[str]) ->
     out = None
     for kind in kinds:
         stem = "variable" if kind == "property" else kind
-        docs = spark.read.option("wholetext", True).text(f"{directory}/cluster_index_{stem}.json")
+        docs = spark.read.text(f"{directory}/cluster_index_{stem}.json", wholetext=True)
         part = (docs.select(F.posexplode(F.from_json("value", entry)).alias("cluster_id", "c"))
                 .select(F.lit(kind).alias("kind"), "cluster_id", "c.*"))
         out = part if out is None else out.unionByName(part)

@@ -10,10 +10,10 @@ from symloom.operators.graph import flatten
 
 def read_nodes(spark: SparkSession, directory: str) -> DataFrame:
     """All declaration files of a folder, nested members as rows."""
-    docs = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(directory)
+    docs = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(directory, wholetext=True)
             .selectExpr("_metadata.file_path as doc_id", "value"))
     return flatten(docs)
 
 
 def read_sdk(spark: SparkSession, directory: str) -> DataFrame:
-    return parse_sdk(spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(directory))
+    return parse_sdk(spark.read.option("pathGlobFilter", "*.json").text(directory, wholetext=True))
