@@ -82,7 +82,7 @@ def _with_descendants(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     ``tree`` has (root_id, node_id), each node below itself included.
     """
     below = tree.select(F.col("root_id").alias("node_id"), F.col("node_id").alias("_below"))
-    return pairs.join(below, "node_id").select(F.col("_below").alias("node_id"), "base").distinct()
+    return salted_join(below, pairs, "node_id", F.col("_below")).select(F.col("_below").alias("node_id"), "base").distinct()
 
 
 def match_external(cands: DataFrame, members: DataFrame, tree: DataFrame, ext_nodes: DataFrame,
@@ -97,8 +97,8 @@ def match_external(cands: DataFrame, members: DataFrame, tree: DataFrame, ext_no
                    .select("base", "base_kind", ext_members["name"], ext_members["kind"]))
     keyed = requirement.groupBy(F.concat_ws("\u0001", "base", "name", "kind").alias("_key")).agg(
         F.bool_or(F.col("base_kind") == "protocol").alias("_protocol"), F.bool_or(F.col("base_kind") == "class").alias("_class"))
-    offered = (members.select(F.col("node_id").alias("member_id"), F.col("parent_id").alias("node_id"), "name", "kind", "attributes")
-               .join(owners, "node_id")
+    own_members = members.select(F.col("node_id").alias("member_id"), F.col("parent_id").alias("node_id"), "name", "kind", "attributes")
+    offered = (salted_join(own_members, owners, "node_id", F.col("member_id"))
                .withColumn("_key", F.concat_ws("\u0001", "base", "name", "kind")))
     hit = salted_join(offered, keyed, "_key", F.col("member_id"))
     kept = hit.where(F.col("_protocol") | (F.col("_class") & F.array_contains("attributes", "override")))
@@ -121,15 +121,15 @@ def match_sdk(cands: DataFrame, members: DataFrame, tree: DataFrame, sdk: DataFr
     raw = _with_descendants(adopted.where((F.col("kind") == "enum") & base.isin(RAW_VALUE_BASES)).select("node_id", "base"), tree)
     coding = _with_descendants(adopted.where(base.isin(CODING_BASES)).select("node_id", "base"), tree)
     child = members.select(F.col("node_id").alias("member_id"), F.col("parent_id").alias("node_id"), leaf("name").alias("name"), "kind")
-    cases = (child.where("kind = 'case'").join(raw.select("node_id").distinct(), "node_id", "left_semi")
+    cases = (salted_join(child.where("kind = 'case'"), raw.select("node_id").distinct(), "node_id", F.col("member_id"), "left_semi")
              .select(F.col("member_id").alias("node_id"), F.lit("sdk_raw_value").alias("reason")))
-    coded = (child.join(coding.select("node_id").distinct(), "node_id", "left_semi")
+    coded = (salted_join(child, coding.select("node_id").distinct(), "node_id", F.col("member_id"), "left_semi")
              .select(F.col("member_id").alias("node_id"), F.lit("sdk_coding").alias("reason")))
     mk = F.lower("member_kind")
     kind = F.when(mk == "var", "variable").when(mk == "enumelement", "case").when(mk == "func", "function").otherwise(mk)
     keyed = sdk.where("member is not null").select(F.concat_ws("\u0001", "type_name", "member", kind).alias("_key")).distinct()
     owners = _with_descendants(pairs.select("node_id", "base"), tree)
-    offered = (child.where(~F.col("kind").isin("struct", "protocol", "class", "enum")).join(owners, "node_id")
+    offered = (salted_join(child.where(~F.col("kind").isin("struct", "protocol", "class", "enum")), owners, "node_id", F.col("member_id"))
                .withColumn("_key", F.concat_ws("\u0001", "base", "name", "kind")))
     same = (salted_join(offered, keyed, "_key", F.col("member_id"), "left_semi")
             .select(F.col("member_id").alias("node_id"), F.lit("sdk_member").alias("reason")))

@@ -51,7 +51,7 @@ def no_inheritance(nodes: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Types that adopt nothing and are nobody's parent."""
     alone = nodes.where(F.col("kind").isin(TYPE_KINDS) & (F.size("adopted") == 0))
     parents = edge_rows.select(F.col("parent").alias("name")).distinct()
-    return alone.join(parents, "name", "left_anti")
+    return salted_join(alone, parents, "name", F.col("node_id"), "left_anti").select(*nodes.columns)
 
 
 def fold_extensions(nodes: DataFrame) -> DataFrame:
@@ -60,9 +60,9 @@ def fold_extensions(nodes: DataFrame) -> DataFrame:
              .groupBy("name").agg(F.sort_array(F.collect_set("a")).alias("_extra")))
     base = nodes.where(F.col("kind").isin(TYPE_KINDS))
     rest = nodes.where(~F.col("kind").isin(TYPE_KINDS))
-    folded = (base.join(extra, "name", "left")
+    folded = (salted_join(base, extra, "name", F.col("node_id"), "left")
               .withColumn("adopted", F.when(F.col("_extra").isNull(), F.col("adopted"))
-                          .otherwise(F.array_union("adopted", "_extra"))).drop("_extra"))
+                          .otherwise(F.array_union("adopted", "_extra"))).select(*nodes.columns))
     return folded.unionByName(rest)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.session import salted_join
@@ -47,25 +47,34 @@ def pattern_table(spark: SparkSession, patterns: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(rows, "pattern string")
 
 
+def matching_patterns(column: str, wildcards: list[str]) -> Column:
+    """Array of the wildcards a value matches.
+
+    One combined regex per ``GROUP`` patterns turns most values away; only then
+    is each pattern of the group tried.
+    """
+    found = F.array().cast("array<string>")
+    value = F.col(column)
+    for at in range(0, len(wildcards), GROUP):
+        group = wildcards[at:at + GROUP]
+        any_of = "(?s)^(?:" + "|".join(glob_regex(p) for p in group) + ")$"
+        each = F.array_compact(F.array(*[F.when(value.rlike(f"(?s)^{glob_regex(p)}$"), F.lit(p)) for p in group]))
+        found = F.concat(found, F.when(value.rlike(any_of), each).otherwise(F.array().cast("array<string>")))
+    return found
+
+
 def glob_match(names: DataFrame, patterns: Iterable[str], column: str = "name") -> DataFrame:
     """(name, pattern) for every distinct name and every pattern it matches.
 
-    Literal patterns are an equi-join. Wildcards are tested inside the name's
-    row: one combined regex drops most names, then each pattern of the group
-    is tried. Groups of ``GROUP`` keep every regex small, whatever the number
-    of patterns.
+    Literal patterns are an equi-join, wildcards are tested in the name's row.
     """
     literals, wildcards = split_globs(patterns)
     distinct = names.select(F.col(column).alias("name")).distinct()
     table = pattern_table(names.sparkSession, literals).withColumn("name", F.col("pattern"))
     out = distinct.join(table, "name").select("name", "pattern")
-    for at in range(0, len(wildcards), GROUP):
-        group = wildcards[at:at + GROUP]
-        any_of = "(?s)^(?:" + "|".join(glob_regex(p) for p in group) + ")$"
-        hits = F.filter(F.array(*[F.when(F.col("name").rlike(f"(?s)^{glob_regex(p)}$"), F.lit(p)) for p in group]),
-                        lambda p: p.isNotNull())
-        out = out.unionByName(distinct.where(F.col("name").rlike(any_of)).select("name", F.explode(hits).alias("pattern")))
-    return out
+    if not wildcards:
+        return out
+    return out.unionByName(distinct.select("name", F.explode(matching_patterns("name", wildcards)).alias("pattern")))
 
 
 def policy_presence(names: DataFrame, policy: dict[str, list[str]], shown: int = 5) -> DataFrame:

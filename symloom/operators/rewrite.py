@@ -117,8 +117,9 @@ def debug_calls(files: DataFrame, own: DataFrame, names: list[str] = cl.DEBUG_NA
                  s["name"].alias("name"), s["prefixed"].alias("prefixed"), s["start_line"].alias("start_line"),
                  s["end_line"].alias("end_line"), F.trim(F.get("_l", s["start_line"] - 1)).alias("code")))).alias("s"))
              .select(*kept, "s.*"))
-    defined = own.select("name").distinct().withColumn("_own", F.lit(True))
-    return found.join(defined, "name", "left").where("_own is null or prefixed").drop("_own", "prefixed").select(
+    # At most one row per call name, so this side has a fixed bound.
+    defined = own.select("name").where(F.col("name").isin(names)).distinct().withColumn("_own", F.lit(True))
+    return found.join(F.broadcast(defined), "name", "left").where("_own is null or prefixed").drop("_own", "prefixed").select(
         *kept, "name", "start_line", "end_line", "code")
 
 

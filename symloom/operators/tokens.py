@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.names import ColumnLike, as_col
-from symloom.session import salted_join
+from symloom.session import hold, salted_join
 
 WORD = r"[\p{L}_][\p{L}\p{N}_]*"
 
@@ -46,11 +46,12 @@ _CALL = r"\b([A-Za-z_]\w*)\s*\("
 _IDENT = r"[A-Za-z_]\w*"
 
 
-def occurrences(files: DataFrame, symbols: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, name, line_no, role, code): lines that mention a symbol.
+def occurrences(files: DataFrame, symbols: DataFrame, keys: list[str], text: str = "text", code: bool = False) -> DataFrame:
+    """(keys, name, line_no, role[, code]): lines that mention a symbol.
 
     Roles are read off the line itself, definition before call before
-    reference, so no pattern is built per symbol.
+    reference, so no pattern is built per symbol. The line's text travels with
+    every word only if ``code`` asks for it.
     """
     def on_line(line: Column, i: Column) -> Column:
         defined = F.regexp_extract_all(line, F.lit(_DEFINE), F.lit(1))
@@ -59,7 +60,7 @@ def occurrences(files: DataFrame, symbols: DataFrame, keys: list[str], text: str
         return F.transform(names, lambda n: F.struct(
             n.alias("name"), (i + 1).alias("line_no"),
             F.when(F.array_contains(defined, n), "definition").when(F.array_contains(called, n), "call")
-            .otherwise("reference").alias("role"), F.trim(line).alias("code")))
+            .otherwise("reference").alias("role"), *([F.trim(line).alias("code")] if code else [])))
 
     found = files.select(*keys, F.explode(F.flatten(F.transform(F.split(text, "\n"), on_line))).alias("x")).select(*keys, "x.*")
     wanted = symbols.select("name").distinct()
@@ -93,7 +94,8 @@ def snippets(files: DataFrame, hits: DataFrame, key: str, text: str = "text", co
     the file's row.
     """
     per_file = hits.groupBy(key).agg(F.collect_list(F.struct("name", "line_no")).alias("_hits"))
-    cut = files.select(key, F.split(text, "\n").alias("_lines")).join(per_file, key)
+    cut = files.select(key, F.col(text).alias("_text")).join(per_file, key)
+    cut = hold(cut, "_lines", F.split("_text", "\n"))
 
     def one(hit: Column) -> Column:
         start = F.greatest(hit["line_no"] - context, F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.calls import DEBUG_NAMES
 from symloom.operators import literals as lit, rewrite
+from symloom.session import salted_join
 
 
 class Literals(NamedTuple):
@@ -21,7 +22,7 @@ def protect_literals(files: DataFrame, policy: DataFrame, key: Column, id_column
     table = lit.literal_table(files, "swift", keep=[id_column])
     effects = lit.literal_policy(policy)
     held_back = effects.where("effect <> 'included'").select(F.concat(F.lit('"'), "pattern", F.lit('"')).alias("value"))
-    wanted = lit.keep_literals(table).join(held_back, "value", "left_anti")
+    wanted = salted_join(lit.keep_literals(table), held_back, "value", F.struct(id_column, "line_no"), "left_anti")
     return Literals(lit.encrypt_literals(wanted, key), lit.literal_policy_report(table, effects))
 
 

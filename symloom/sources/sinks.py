@@ -16,9 +16,10 @@ def write_splits(df: DataFrame, path: str, split: Column, spread: int = 0) -> No
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_payloads(df: DataFrame, path: str, key: str = "identifier") -> None:
-    """One folder of JSON per identifier, its rows brought together first."""
-    df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+def write_payloads(df: DataFrame, path: str, key: str = "identifier", spread: int = 4) -> None:
+    """One folder of JSON per identifier, in at most ``spread`` files each."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    df.repartition(key, salt).write.mode("overwrite").partitionBy(key).json(path)
 
 
 def log_decisions(df: DataFrame, path: str, kind: str, basis: str) -> None:

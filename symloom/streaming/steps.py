@@ -104,7 +104,16 @@ _TAIL_STATE = T.StructType([T.StructField("ts", T.ArrayType(T.LongType())), T.St
 
 
 def tail_stream(lines: DataFrame, n: int = 10) -> DataFrame:
-    """The same for a stream: a list of ``n`` lines per run is all the state there is."""
+    """The same for a stream: a list of ``n`` lines per run is all the state there is.
+
+    Before the shuffle every batch of rows is cut to its own last ``n`` per run,
+    so a run that fills the stream sends only a few rows to its task.
+    """
+    def shorten(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part = part[part["line"].str.strip() != ""].sort_values(["ts", "line"])
+            yield part.groupby("run_id", sort=False).tail(n)
+
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ts, kept = ([], []) if not state.exists else map(list, state.get)
         rows = list(zip(ts, kept))
@@ -115,7 +124,8 @@ def tail_stream(lines: DataFrame, n: int = 10) -> DataFrame:
         state.update(([int(t) for t, _ in rows], [line for _, line in rows]))
         yield pd.DataFrame({"run_id": [key[0]], "lines": [[line for _, line in rows]]})
 
-    return lines.groupBy("run_id").applyInPandasWithState(update, _TAIL_OUT, _TAIL_STATE, "update", GroupStateTimeout.NoTimeout)
+    short = lines.select("run_id", "ts", "line").mapInPandas(shorten, "run_id string, ts timestamp, line string")
+    return short.groupBy("run_id").applyInPandasWithState(update, _TAIL_OUT, _TAIL_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def keep_latest(stream: DataFrame, path: str, checkpoint: str):
