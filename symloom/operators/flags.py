@@ -72,14 +72,18 @@ def mapping_dump(names: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def audit_mapping(mapping: DataFrame, names: DataFrame) -> DataFrame:
-    """One row of counts: targets and replacements found among all names, and clashes."""
-    known = names.select("name").distinct().withColumn("_k", F.lit(True))
-    t = mapping.join(known.withColumnRenamed("name", "target").withColumnRenamed("_k", "_t"), "target", "left")
-    r = t.join(known.withColumnRenamed("name", "replacement").withColumnRenamed("_k", "_r"), "replacement", "left")
-    totals = r.agg(F.count("*").alias("n"), F.count("_t").alias("targets_found"), F.count("_r").alias("replacements_found"))
-    reused = (mapping.groupBy("replacement").agg(F.count("*").alias("c")).where("c > 1")
-              .agg(F.count("*").alias("replacements_reused")))
-    return totals.crossJoin(reused)
+    """One row of counts: targets and replacements found among all names, and clashes.
+
+    Counts are taken per replacement first, so the final sum runs over one row each.
+    """
+    known = names.select("name").distinct()
+    hit = salted_join(mapping.select("replacement", F.col("target").alias("name")), known.withColumn("_t", F.lit(1)), "name", F.col("replacement"), "left")
+    uses = hit.groupBy(F.col("replacement").alias("name")).agg(F.count("*").alias("c"), F.coalesce(F.sum("_t"), F.lit(0)).alias("t"))
+    both = uses.join(known.withColumn("_r", F.lit(1)), "name", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(total(F.col("c")).alias("n"), total(F.col("t")).alias("targets_found"),
+                    total(F.when(F.col("_r") == 1, F.col("c")).otherwise(0)).alias("replacements_found"),
+                    total((F.col("c") > 1).cast("long")).alias("replacements_reused"))
 
 
 def match_specs(nodes: DataFrame, specs: DataFrame, allowed_kinds: list[str] | None = None) -> DataFrame:

@@ -112,7 +112,10 @@ def declaration_columns(parts: Column) -> dict[str, Column]:
     clause = F.regexp_extract(rest, r"^\s*(?:<[^>]*>)?\s*:\s*([^{]*?)\s*(?:\bwhere\b.*|\{.*)?$", 1)
     adopted = F.filter(F.transform(F.split(clause, ","), lambda t: F.trim(F.substring_index(t, "<", 1))),
                        lambda t: t != "")
-    params = F.regexp_extract(rest, r"^\s*(?:<[^>]*>)?\s*\(([^)]*)\)", 1)
+    listed = r"^\s*(?:<[^>]*>)?\s*\(((?:[^()]|\([^()]*\))*)\)(.*)$"
+    params, tail = F.regexp_extract(rest, listed, 1), F.regexp_extract(rest, listed, 2)
+    types = F.transform(F.filter(names.split_params(params), lambda p: F.trim(p) != ""),
+                        lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"\s=\s.*$", ""), r"^[^:]*:", "")))
     empty = F.array().cast("array<string>")
     is_func = keyword.isin("func", "init")
     return {
@@ -125,8 +128,8 @@ def declaration_columns(parts: Column) -> dict[str, Column]:
         "initial_value": F.when(keyword.isin("var", "let"), F.nullif(
             F.regexp_extract(rest, r'^[^={]*=\s*("(?:\\.|[^"\\])*"[^;]*?|[^;]*?)\s*(?:;.*)?$', 1), F.lit(""))),
         "params": F.when(is_func, names.param_labels(params)).otherwise(empty),
-        "param_types": F.when(is_func, names.param_types(params)).otherwise(empty),
-        "return_type": F.when(is_func, F.nullif(F.regexp_extract(rest, r"\)[^{]*?->\s*([^{]*?)\s*(?:\{.*)?$", 1), F.lit(""))),
+        "param_types": F.when(is_func, types).otherwise(empty),
+        "return_type": F.when(is_func, F.nullif(F.regexp_extract(tail, r"^[^{]*?->\s*([^{]*?)\s*(?:\{.*)?$", 1), F.lit(""))),
     }
 
 

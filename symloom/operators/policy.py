@@ -66,15 +66,14 @@ def matching_patterns(column: str, wildcards: list[str]) -> Column:
 def glob_match(names: DataFrame, patterns: Iterable[str], column: str = "name") -> DataFrame:
     """(name, pattern) for every distinct name and every pattern it matches.
 
-    Literal patterns are an equi-join, wildcards are tested in the name's row.
+    Literal patterns are an equi-join, wildcards are tested in the name's row;
+    the names are read once for both.
     """
     literals, wildcards = split_globs(patterns)
     distinct = names.select(F.col(column).alias("name")).distinct()
     table = pattern_table(names.sparkSession, literals).withColumn("name", F.col("pattern"))
-    out = distinct.join(table, "name").select("name", "pattern")
-    if not wildcards:
-        return out
-    return out.unionByName(distinct.select("name", F.explode(matching_patterns("name", wildcards)).alias("pattern")))
+    found = F.array_compact(F.array_append(matching_patterns("name", wildcards), F.col("pattern")))
+    return distinct.join(table, "name", "left").select("name", F.explode(found).alias("pattern"))
 
 
 def policy_presence(names: DataFrame, policy: dict[str, list[str]], shown: int = 5) -> DataFrame:

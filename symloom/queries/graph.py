@@ -9,7 +9,7 @@ from symloom.queries.derived import EDGES_SQL, NODES_CTE, key_edges, node_rows,
 from symloom.queries.registry import query
 
 _TYPES = "('class', 'struct', 'enum', 'protocol', 'actor')"
-_ALIASES = "aliases AS (SELECT 'Alias' || CAST(n_nationkey AS STRING) AS alias, ['Prot' || CAST(n_regionkey AS STRING), 'Cust' || CAST(n_nationkey AS STRING)] AS protocols FROM nation WHERE n_nationkey < 20)"
+_ALIASES = "aliases AS (SELECT 'Alias' || CAST(n_nationkey AS STRING) AS alias, ['Prot' || CAST(n_regionkey AS STRING), 'Cust' || CAST(n_nationkey AS STRING)] AS protocols FROM nation)"
 
 
 def _types(spark, sf):
@@ -18,7 +18,7 @@ def _types(spark, sf):
 
 def _aliases(spark, sf):
     n = F.col("n_nationkey").cast("string")
-    return table(spark, sf, "nation").where("n_nationkey < 20").select(F.concat(F.lit("Alias"), n).alias("alias"), F.array(
+    return table(spark, sf, "nation").select(F.concat(F.lit("Alias"), n).alias("alias"), F.array(
         F.concat(F.lit("Prot"), F.col("n_regionkey").cast("string")), F.concat(F.lit("Cust"), n)).alias("protocols"))
 
 
@@ -249,12 +249,12 @@ def flattened_members(spark, sf):
 
 
 @query("rerooted_tree", f"""
-    WITH {EDGES_SQL}, e AS (SELECT * FROM edges WHERE parent LIKE 'N%' OR parent LIKE 'R%')
-    SELECT child AS node, CASE WHEN child LIKE 'N%' THEN CASE WHEN parent IN ('R0', 'R1') THEN 1 ELSE 0 END
-      ELSE CASE WHEN parent IN (SELECT child FROM e WHERE parent IN ('R0', 'R1')) THEN 2 ELSE 1 END END AS depth FROM e
-    UNION ALL SELECT unnest(['R0', 'R1']), 0""")
+    WITH RECURSIVE {EDGES_SQL}, t AS (SELECT DISTINCT parent AS root, parent AS node, 0 AS depth FROM edges WHERE parent NOT IN (SELECT child FROM edges)
+      UNION ALL SELECT root, child, depth + 1 FROM t JOIN edges ON node = parent)
+    SELECT node, min(d) AS depth FROM (SELECT node, depth - CASE WHEN root IN ('R0', 'R1') THEN 0 ELSE 1 END AS d FROM t) WHERE d >= 0 GROUP BY node""")
 def rerooted_tree(spark, sf):
-    edges = key_edges(spark, sf).where("parent like 'N%' or parent like 'R%'")
+    """Only two of the regions are declared; the nations of the others become roots."""
+    edges = key_edges(spark, sf)
     tree = g.closure(edges, g.roots(edges)).select("root", "node", "depth")
     declared = table(spark, sf, "region").where("r_regionkey < 2").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("name"))
     return g.reroot(tree, declared)

@@ -75,6 +75,7 @@ _DECLS = ", ".join([
     _decl(f"'nested' || {_K}", "function", 28, ret="'some View'", parent=_P),
     _decl(f"'inner' || {_K}", "function", 29, parent=_P),
     _decl("'Part' || CAST(p_partkey % 50 AS STRING)", "extension", 33, adopted="'Printable' || CAST(p_partkey % 4 AS STRING)"),
+    _decl(f"'extra' || {_K}", "function", 34, params="'cb'", types="'@escaping (Int) -> Void'", parent="'Part' || CAST(p_partkey % 50 AS STRING)"),
     _decl("'Proto' || CAST(p_partkey % 11 AS STRING)", "protocol", 36),
     _decl(f"'draw' || {_K}", "function", 37, params="'rect'", types="'Int'", parent="'Proto' || CAST(p_partkey % 11 AS STRING)"),
     _decl(f"'Store' || {_K}", "actor", 39),
@@ -89,7 +90,7 @@ _DECLS = ", ".join([
 @query("declarations_code", f"""
     SELECT p_partkey AS file_id, unnest([{_DECLS}], recursive := true) FROM part""")
 def declarations_code(spark, sf):
-    d = lex.declarations(swift_files(spark, sf)).where(~F.col("name").like("extra%"))
+    d = lex.declarations(swift_files(spark, sf))
     joined = [F.array_join(c, "|").alias(c) for c in ("attributes", "adopted", "params", "param_types")]
     return d.select("file_id", "name", "kind", F.col("loc.line").alias("line"), "access", *joined, "return_type", "initial_value",
                     F.col("parent_type").alias("parent"))

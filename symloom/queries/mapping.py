@@ -162,9 +162,13 @@ def allocated_names(spark, sf):
     return mp.allocate_names(part, part.where("p_size % 5 = 0"), table(spark, sf, "supplier"), "s_suppkey", per_file=2)
 
 
-@query("closest_symbols")
+@query("closest_symbols", """
+    WITH p AS (SELECT p_partkey, CAST(p_partkey AS STRING) AS k FROM part)
+    SELECT p_partkey AS file_id, unnest([{'ident': 'commentd' || k, 'symbol': 'commented' || k || '()', 'tier': 3},
+      {'ident': 'load' || k || '(x:)', 'symbol': 'load' || k || '(with id: Int, _ flag: [String: Int])', 'tier': 2}], recursive := true) FROM p
+    UNION ALL SELECT p_partkey, 'titel' || k, 'title' || k, 3 FROM p WHERE length(k) > 1""")
 def closest_symbols(spark, sf):
-    """Misspelt names against the symbols of their file."""
+    """Misspelt names against the symbols of their file; two swapped letters are too many for the shortest names."""
     files = swift_files(spark, sf)
     syms = lex.symbols(files, "swift", keep=["file_id"])
     k = F.col("p_partkey").cast("string")

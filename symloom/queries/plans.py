@@ -44,12 +44,11 @@ def _classified(spark, sf):
 
 @query("classified_nodes", f"""
     WITH d AS (SELECT p_partkey, p_size, unnest([{_DECLS}], recursive := true) FROM part)
-    SELECT p_partkey AS file_id, line, name, CAST(name IN ('draw' || {_K}) AND p_partkey < 25 OR name = 'on' || {_K} OR name = 'off' OR name = 'count' || {_K}
+    SELECT p_partkey AS file_id, line, name, CAST(name IN ('draw' || {_K}, 'extra' || {_K}) AND p_partkey < 25 OR name = 'on' || {_K} OR name = 'off' OR name = 'count' || {_K}
       OR (name = 'top' || {_K} AND p_partkey < 25) AS INT) AS is_exception FROM d""")
 def classified_nodes(spark, sf):
-    """``draw`` by external name, enum cases by raw value, ``count`` by attribute, ``top`` by list."""
-    nodes = _classified(spark, sf).where(~F.col("name").like("extra%"))
-    return nodes.select("file_id", F.col("loc.line").alias("line"), "name", "is_exception")
+    """``draw`` and ``extra`` by external name, enum cases by raw value, ``count`` by attribute, ``top`` by list."""
+    return _classified(spark, sf).select("file_id", F.col("loc.line").alias("line"), "name", "is_exception")
 
 
 @query("renamed_texts")

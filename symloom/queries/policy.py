@@ -175,12 +175,12 @@ def latest_rules(spark, sf):
 # Flags on nodes.
 
 @query("merged_exceptions", """
-    SELECT location, arg_min(source, r) AS source FROM (SELECT CAST(c_custkey AS STRING) AS location, 'external' AS source, 0 AS r FROM customer WHERE c_custkey % 3 = 0
-      UNION ALL SELECT CAST(o_custkey AS STRING), 'internal', 1 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT CAST(s_suppkey AS STRING), 'sdk', 2 FROM supplier) GROUP BY location""")
+    SELECT location, arg_min(source, r) AS source FROM (SELECT CAST(c_custkey AS STRING) AS location, 'external' AS source, 0 AS r FROM customer WHERE c_mktsegment = 'BUILDING'
+      UNION ALL SELECT CAST(o_custkey AS STRING), 'internal', 1 FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT CAST(s_suppkey AS STRING), 'sdk', 2 FROM supplier) GROUP BY location""")
 def merged_exceptions(spark, sf):
     def part(name, column, where, source):
         return table(spark, sf, name).where(where).select(F.col(column).cast("string").alias("location"), F.lit(source).alias("source"))
-    return fl.merge_exceptions(part("customer", "c_custkey", "c_custkey % 3 = 0", "external"), part("orders", "o_custkey", "o_orderkey % 5 = 0", "internal"),
+    return fl.merge_exceptions(part("customer", "c_custkey", "c_mktsegment = 'BUILDING'", "external"), part("orders", "o_custkey", "o_orderstatus = 'F'", "internal"),
                                part("supplier", "s_suppkey", "true", "sdk"))
 
 
