@@ -142,7 +142,7 @@ def wrap_eligibility(spark, sf):
     files = swift_files(spark, sf)
     funcs = scopes.protocol_impl(cut_lineage(_funcs(spark, sf)), scopes.protocol_requirements(files), ["file_id", "name", "line_no"])
     funcs = scopes.resolve_parents(funcs, scopes.actor_types(files), scopes.global_actor_types(files), scopes.local_types(files))
-    return rl.eligible(funcs, rl.file_types(files, "file_id"), "file_id").select("file_id", "name", "blocked_by")
+    return rl.eligible(cut_lineage(funcs), rl.file_types(files, "file_id"), "file_id").select("file_id", "name", "blocked_by")
 
 
 @query("carried_attributes", """
