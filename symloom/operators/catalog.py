@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symloom import schemas
 from symloom.functions.names import leaf
 from symloom.session import salted_join
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symloom.functions import text as tx
-from symloom.queries.derived import render, swift_files, table
+from symloom.queries.derived import SWIFT, render, swift_files, table
 from symloom.queries.registry import query
 from symloom.sources import files as src
 
@@ -121,7 +121,7 @@ def blank_comments_markup(spark, sf):
 @query("strip_comments_code", r"""
     SELECT p_partkey AS file_id, text LIKE '%Hidden%' OR text LIKE '%commented%' AS left_over, length(text) AS n_chars FROM (
       SELECT p_partkey, regexp_replace(regexp_replace(src, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS text FROM (SELECT p_partkey, {src} AS src FROM part))
-    """.replace("{src}", render(__import__("symloom.queries.derived", fromlist=["SWIFT"]).SWIFT)))
+    """.replace("{src}", render(SWIFT)))
 def strip_comments_code(spark, sf):
     text = tx.strip_comments("text", "swift")
     return swift_files(spark, sf).select("file_id", (text.contains("Hidden") | text.contains("commented")).alias("left_over"),

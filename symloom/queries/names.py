@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import names as nm, text as tx
 from symloom.operators.tokens import words
-from symloom.queries.derived import IDENT, ident_names, render, table
+from symloom.queries.derived import ident_names, render, table
 from symloom.queries.registry import query
 
 _W1 = "split_part(p_name, ' ', 1)"

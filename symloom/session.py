@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +66,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cache a table that several branches of one plan read; may spill to disk."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column,
                 how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join where single keys of ``big`` may hold a large share of its rows.
