@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import exact, langid, lm_score, mixing, pieces, pii, quality, sharding, simhash
+from symloom.llm import exact, langid, lm_score, mixing, pieces, pii, quality, sharding, simhash, suffixes
 from symloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.cross_entropy_difference(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf)).drop("spans")
+
+
 def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,5 +54,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding, op2_pseudonyms, op3_simhash, op4_host_rules, op5_lm_score, op7_mixing, op8_pieces, op9_exact_dedup, op10_language_id)}
+    op1_sharding, op2_pseudonyms, op3_simhash, op4_host_rules, op5_lm_score, op6_repeated_passages, op7_mixing, op8_pieces, op9_exact_dedup, op10_language_id)}
 ORACLES: dict[str, str] = {"op4_host_rules": quality.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact.ORACLE}
