@@ -32,6 +32,7 @@ CHUNK = 1 << 19  # bytes that are hashed together
 COLLECTION = 40_000  # strings sorted together
 SAMPLE = 20_000  # documents looked at for frequent anchors
 FREQUENT = 0.01  # share of the sampled documents that makes an anchor frequent
+LEAST = 50  # sampled documents
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 ROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("row_no", pa.int64()),
@@ -129,7 +130,7 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
     total = docs.count()
     share = min(1.0, SAMPLE / max(1, total))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(1_000_000)) < share * 1_000_000).where(F.octet_length("text") >= LENGTH)
-    least = max(50, int(FREQUENT * min(total, SAMPLE)))
+    least = max(LEAST, int(FREQUENT * min(total, SAMPLE)))
     rows = drawn.select("text").mapInArrow(_sampled_keys, "a long").groupBy("a").count().where(F.col("count") >= least)
     return np.sort(np.array([r["a"] for r in rows.collect()], np.int64).view(np.uint64))
 
