@@ -45,3 +45,11 @@ def arrow_batches(spark: SparkSession, records: int = 4000, megabytes: int = 8)
 def checked_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit the limit, else as it is for a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import ascii_lower, written
+from symloom.llm.common import ascii_lower, fresh, written
 
 TRACKED = 4096
 CANDIDATES = 512
@@ -71,13 +71,14 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     where there are any, one row of each is taken.
     """
     judged = written(exact_dedup(docs), "exact-judged")
-    rows = docs.withColumn("_sha", digest(F.col("text")))
-    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), F.col("_sha") == F.col("_digest")]
-    pairs = (judged.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-             .where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), "stays"))
+    own, key, sha, stays = (fresh(docs, n) for n in ("_own", "_id", "_sha", "_stays"))
+    rows = docs.withColumn(own, digest(F.col("text")))
+    same = [F.col("doc_id").cast("long").eqNullSafe(F.col(key)), F.col(own) == F.col(sha)]
+    pairs = (judged.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias(stays), F.count("*").alias("n"))
+             .where(f"NOT {stays} OR n > 1").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), stays))
     pairs = written(pairs, "exact-drops")
-    clear = rows.join(pairs, key, "left_anti")
-    twice = rows.join(pairs.where("stays"), key, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    clear = rows.join(pairs, same, "left_anti")
+    twice = rows.join(pairs.where(stays), same, "left_semi").dropDuplicates(["doc_id", own])
     return clear.unionByName(twice).select(*docs.columns)
 
 

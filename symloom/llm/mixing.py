@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import word_count, written
+from symloom.llm.common import fresh, word_count, written
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -33,10 +33,12 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit
     everything = Window.partitionBy()
     level = ((F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * limit).over(before), F.lit(0)))
              / F.sum("weight").over(after))
-    steps = ranked.withColumn("level", level).withColumn(
-        "level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("source_size") * limit, F.col("level"))).over(everything))
+    # The first source that does not stop tells the level; behind it, sources are counted as stopped that are not.
+    steps = ranked.withColumn("level", level).withColumn("place", F.row_number().over(order))
+    goes_on = F.col("level") * F.col("weight") <= F.col("source_size") * limit
+    steps = steps.withColumn("level", F.min(F.when(goes_on, F.struct("place", "level"))).over(everything)["level"])
     target = F.least((F.col("source_size") * limit).cast("double"), F.col("level") * F.col("weight"))
-    return steps.withColumn("target", F.coalesce(target, F.lit(0.0))).drop("level")
+    return steps.withColumn("target", F.coalesce(target, F.lit(0.0))).drop("level", "place")
 
 
 def apportion(sources: DataFrame, shards: int = SHARDS, seats: int = SEATS) -> DataFrame:
@@ -141,20 +143,21 @@ def repeated_rows(docs: DataFrame) -> DataFrame:
     id's rows are on average, rounded up.
     """
     mixed = mix(docs).groupBy("doc_id").agg(F.ceil(F.sum("repeats") / F.count("*")).cast("int").alias("repeats"))
-    plan = written(mixed.where("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats"), "mix-repeats")
-    rows = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    key, times, turn = fresh(docs, "_id"), fresh(docs, "_times"), fresh(docs, "_turn")
+    plan = written(mixed.where("repeats > 0").select(F.col("doc_id").alias(key), F.col("repeats").alias(times)), "mix-repeats")
+    rows = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS weight FROM s),
-l AS (SELECT *, (CAST((SELECT sum(source_size) FROM w) - coalesce(sum(source_size * {LIMIT}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+l AS (SELECT *, row_number() OVER o AS place, (CAST((SELECT sum(source_size) FROM w) - coalesce(sum(source_size * {LIMIT}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
       / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE)) AS level
       FROM w WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source IS NULL, source)),
 t AS (SELECT source, source_size, coalesce(least(CAST(source_size * {LIMIT} AS DOUBLE),
-      (SELECT min(level) FROM l WHERE level * weight <= source_size * {LIMIT}) * weight), 0.0) AS target FROM l),
+      (SELECT arg_min(level, place) FROM l WHERE level * weight <= source_size * {LIMIT}) * weight), 0.0) AS target FROM l),
 q AS (SELECT source, target, unnest(range(0, CAST(ceil(target * {SHARDS * SEATS} / (SELECT sum(target) FROM t)
       * (1 + (SELECT count(*) FROM t) / {2.0 * SHARDS * SEATS}) + 0.5) AS BIGINT) + 1)) AS pick FROM t WHERE target > 0),
 b AS (SELECT source, count(*) AS blocks FROM (SELECT source FROM q ORDER BY target / (2 * pick + 1) DESC, source IS NULL, source, pick LIMIT {SHARDS * SEATS}) GROUP BY source),

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import arrow_batches, written
+from symloom.llm.common import arrow_batches, fresh, written
 from symloom.llm.components import components
 
 SHINGLE = 3
@@ -187,8 +187,9 @@ def component_heads(docs: DataFrame, most: int = 2) -> DataFrame:
     """
     found = written(simhash_components(docs, most), "simhash-found")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("heads"))
-    marked = written(ids.where("NOT heads OR n > 1").select(F.col("doc_id").alias("_id"), "heads"), "simhash-drops")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    key, head = fresh(docs, "_id"), fresh(docs, "_heads")
+    marked = written(ids.where("NOT heads OR n > 1").select(F.col("doc_id").alias(key), F.col("heads").alias(head)), "simhash-drops")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key))
     clear = docs.join(marked, same, "left_anti")
-    twice = docs.join(marked.where("heads"), same, "left_semi").dropDuplicates(["doc_id"])
+    twice = docs.join(marked.where(head), same, "left_semi").dropDuplicates(["doc_id"])
     return clear.unionByName(twice)
