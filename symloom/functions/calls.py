@@ -1,133 +1,135 @@
-"""Small text helpers for calls that may span lines; used inside Arrow UDFs."""
+"""Calls in code texts: where they are, and texts without them. Works on the whole text, so a call or closure may have any length."""
 
 from __future__ import annotations
 
 import re
 
-MAX_LOOKAHEAD = 40
-
 # The names of debug calls, and of calls that take a trailing closure.
 DEBUG_NAMES = ["print", "debugPrint", "NSLog", "assert", "assertionFailure", "dump"]
 QUIET_NAMES = ["print", "debugPrint", "NSLog", "dump"]
 CLOSURE_CALLS = ["forEach", "map", "compactMap", "flatMap", "filter", "reduce", "sorted", "sort", "contains", "first", "allSatisfy"]
 STACK = "Thread.callStackSymbols"
 
+_STRING = r'"(?:\\.|[^"\\])*"'
+_PARENS = re.compile(rf"(?s){_STRING}|[()]")
+_BRACES = re.compile(r"[{}]")
+_DEFINED = re.compile(r"\s*(?:\w+\s+)*func\b\s*(\w*)")
+
 
 def call_pattern(names: list[str]) -> re.Pattern:
     return re.compile(r"(?<![\w.])(?P<prefix>Swift\.)?(?P<name>" + "|".join(map(re.escape, names)) + r")\s*\(")
 
 
-def call_end(lines: list[str], row: int, col: int, limit: int = MAX_LOOKAHEAD) -> tuple[int, int] | None:
-    """Place of the parenthesis that closes the one at (row, col), quotes respected."""
-    depth, quoted, escaped = 0, False, False
-    for r in range(row, min(len(lines), row + 1 + limit)):
-        start = col if r == row else 0
-        for c in range(start, len(lines[r])):
-            ch = lines[r][c]
-            if quoted:
-                if escaped:
-                    escaped = False
-                elif ch == "\\":
-                    escaped = True
-                elif ch == '"':
-                    quoted = False
-            elif ch == '"':
-                quoted = True
-            elif ch == "(":
-                depth += 1
-            elif ch == ")":
-                depth -= 1
-                if depth == 0:
-                    return r, c
+def partner(text: str, at: int, marks: re.Pattern = _PARENS) -> int | None:
+    """Place of the bracket that closes the one at ``at``; with parentheses, those in strings do not count."""
+    open_ = 0
+    for mark in marks.finditer(text, at):
+        if mark.group() in "({":
+            open_ += 1
+        elif mark.group() in ")}":
+            open_ -= 1
+            if not open_:
+                return mark.start()
     return None
 
 
-_DEF = re.compile(r"^\s*(?:public|internal|private|fileprivate)?\s*(?:final\s+)?(?:static\s+)?func\b\s*(\w*)")
-
-
-def call_spans(text: str, names: list[str]) -> list[tuple[str, bool, int, int]]:
-    """(name, prefixed, start, end) of calls, by 1-based lines, outside comments and definitions."""
-    lines, pattern, out, skip = text.split("\n"), call_pattern(names), [], -1
-    for i, line in enumerate(lines):
-        bare = line.lstrip()
-        if i <= skip or bare.startswith(("//", "/*", "*")):
-            continue
-        head = _DEF.match(line)
-        if head:
-            if head.group(1) in names and "{" in line:
-                skip = _block_end(lines, i)
-            continue
-        if STACK in line:
-            out.append((STACK, False, i + 1, i + 1))
-            continue
-        hit = pattern.search(line)
-        if hit and (hit.group("prefix") or not line[:hit.start()].rstrip().endswith(".")):
-            end = call_end(lines, i, hit.end() - 1)
-            last = end[0] if end else i
-            out.append((hit.group("name"), bool(hit.group("prefix")), i + 1, last + 1))
-            skip = last if last > i else skip
+def _line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
+
+
+def call_spans(text: str | None, names: list[str]) -> list[tuple[str, bool, int, int]]:
+    """(name, prefixed, start, end) of the first call per line, by 1-based lines, outside comment lines and definitions.
+
+    What a call or the definition of a listed name spans is passed over. A call
+    that never closes counts for its first line. Null: none.
+    """
+    pattern, out, at, number = call_pattern(names), [], 0, 1
+    text = text or ""
+    while at < len(text):
+        end = _line_end(text, at)
+        line, last = text[at:end], None
+        definition = _DEFINED.match(line)
+        if definition:
+            brace = text.find("{", at, end)
+            if definition.group(1) in names and brace >= 0:
+                last = partner(text, brace, _BRACES)
+        elif not line.lstrip().startswith(("//", "/*", "*")):
+            hit = pattern.search(line)
+            if STACK in line:
+                out.append((STACK, False, number, number))
+            elif hit and (hit.group("prefix") or not line[:hit.start()].rstrip().endswith(".")):
+                last = partner(text, at + hit.end() - 1)
+                height = text.count("\n", at, last) if last is not None else 0
+                out.append((hit.group("name"), bool(hit.group("prefix")), number, number + height))
+        if last is not None:
+            end = _line_end(text, max(last, end))
+        number += text.count("\n", at, end) + 1
+        at = end + 1
     return out
 
 
-def _block_end(lines: list[str], row: int) -> int:
-    depth = 0
-    for r in range(row, min(len(lines), row + MAX_LOOKAHEAD)):
-        for ch in lines[r]:
-            depth += (ch == "{") - (ch == "}")
-            if ch == "}" and depth == 0:
-                return r
-    return row
+_PARTS = re.compile(rf'{_STRING}|[;{{}}]|(?:(?!{_STRING})[^;{{}}])+')
 
 
 def tidy(line: str) -> str:
-    """Remove semicolons that a deleted call left without a statement."""
-    for pattern, into in ((r"\s*;(?:\s*;)+\s*", "; "), (r"\{\s*;\s*", "{ "), (r"\s*;\s*\}", " }"),
-                          (r"^\s*;\s*", ""), (r"\s*;\s*$", ""), (r"\s*;\s*", "; ")):
-        line = re.sub(pattern, into, line)
-    line = re.sub(r"(\.forEach\s*\{)\s*(\})", r"\1 _ in \2", line)
-    return line.rstrip()
-
-
-_OPENERS = re.compile(r"^\s*(?:case\s|@unknown\s+default\s*:|guard\s)")
-_CLOSERS = re.compile(r"^\s*(?:(?:func|class|struct|enum|protocol|extension)\s|\{)")
-
-
-def remove_calls(text: str, names: list[str], quiet: list[str]) -> tuple[str, int]:
-    """Delete calls, or make them harmless where a case or guard block needs a statement."""
-    lines, pattern, out, removed, i = text.split("\n"), call_pattern(names), [], 0, 0
-    closure = re.compile(r"\.(?:" + "|".join(CLOSURE_CALLS) + r")\b[^{}]*\{")
-    needs_statement = False
-    while i < len(lines):
-        line = lines[i]
-        opened = closure.search(line)
-        if opened:
-            last = _block_end(lines, i)
-            block = "\n".join(lines[i:last + 1])
-            if pattern.search(block) or STACK in block:
-                out.extend(lines[i:last + 1])
-                i = last + 1
+    """The line without separators that have no statement on one of their sides, as a deleted call leaves them."""
+    out, waiting = "", False
+    for part in _PARTS.findall(line):
+        if part == ";":
+            waiting = True
+        elif not waiting:
+            out += part
+        elif part.strip():
+            before = out.rstrip()
+            statement = before and before[-1] != "{" and part != "}"
+            out = before + ("; " if statement else " " if before else "") + part.lstrip()
+            waiting = False
+    out = out.rstrip()
+    # A closure that has lost its only statement still takes its argument.
+    return re.sub(r"(?<=\.forEach)(\s*\{)\s*\}", r"\1 _ in }", out)
+
+
+_NEEDS = re.compile(r"\s*(?:case\b|@unknown\s+default\b|guard\b)")
+_FREE = re.compile(r"\s*(?:(?:func|class|struct|enum|protocol|extension)\b|\{)")
+_CLOSURE = re.compile(r"\.(?:" + "|".join(CLOSURE_CALLS) + r")\b[^{}\n]*\{")
+
+
+def remove_calls(text: str | None, names: list[str], quiet: list[str]) -> tuple[str | None, int]:
+    """Delete calls, or make them harmless after ``case`` or ``guard``, where a statement is needed; null stays null.
+
+    A line that opens a trailing closure is left alone as far as the closure
+    goes if there are calls inside. A call that never closes is left alone.
+    """
+    if text is None:
+        return None, 0
+    pattern, out, removed, at, guarded = call_pattern(names), [], 0, 0, False
+    while at <= len(text):
+        end = _line_end(text, at)
+        closure = _CLOSURE.search(text, at, end)
+        if closure:
+            last = partner(text, closure.end() - 1, _BRACES)
+            stop = _line_end(text, last) if last is not None else end
+            if pattern.search(text, at, stop) or text.find(STACK, at, stop) >= 0:
+                out.append(text[at:stop])
+                at = stop + 1
                 continue
-        line, stacks = re.subn(re.escape(STACK) + r"(?=\s*\.)", "[]", line)
-        line, others = re.subn(re.escape(STACK), '""', line)
-        changed, at, nxt = stacks + others, 0, i + 1
-        while hit := pattern.search(line, at):
-            window = [line, *lines[nxt:nxt + MAX_LOOKAHEAD]]
-            end = call_end(window, 0, hit.end() - 1)
-            if end is None:
+        kept, cursor, n = [], at, 0
+        while hit := pattern.search(text, cursor, end):
+            last = partner(text, hit.end() - 1)
+            if last is None:
                 break
-            filler = ""
-            if needs_statement:
-                filler = (hit.group("prefix") or "") + hit.group("name") + '("")' if hit.group("name") in quiet else "assert(true)"
-            line = line[:hit.start()] + filler + window[end[0]][end[1] + 1:]
-            nxt += end[0]
-            at = hit.start() + len(filler)
-            changed += 1
-        out.append(tidy(line) if changed else line)
-        removed += changed
-        for passed in lines[i:nxt]:
-            if _OPENERS.match(passed):
-                needs_statement = True
-            elif _CLOSERS.match(passed):
-                needs_statement = False
-        i = nxt
+            kept.append(text[cursor:hit.start()])
+            if guarded:
+                kept.append(f'{hit.group("prefix") or ""}{hit.group("name")}("")' if hit.group("name") in quiet else "assert(true)")
+            cursor, n = last + 1, n + 1
+            end = _line_end(text, cursor)
+        line = "".join(kept) + text[cursor:end]
+        n += line.count(STACK)
+        line = re.sub(re.escape(STACK) + r"(?=\s*\.)", "[]", line).replace(STACK, '""')
+        for passed in text[at:end].split("\n"):
+            guarded = bool(_NEEDS.match(passed)) or (guarded and not _FREE.match(passed))
+        out.append(tidy(line) if n else line)
+        removed += n
+        at = end + 1
     return "\n".join(out), removed

@@ -10,9 +10,11 @@ _BLOCK = re.compile(r"/\*|\*/")
 _REGEX_BEFORE = re.compile(r"(?:^|[=(,\[:{!&|^+\-*%<>~;]|(?<![A-Za-z0-9])(?:return|where))\Z")
 
 
-def strip_comments(text: str) -> str:
+def strip_comments(text: str | None) -> str | None:
     """Text without comments. A line that starts with a comment loses its line
-    break too, and blanks before a comment are dropped."""
+    break too, and blanks before a comment are dropped. Null stays null."""
+    if text is None:
+        return None
     out: list[str] = []
     _copy_code(text, 0, out, nested=False)
     return "".join(out)
@@ -66,8 +68,11 @@ def _copy_string(text: str, mark: re.Match, out: list[str]) -> int:
 
 
 def _copy_regex(text: str, mark: re.Match, out: list[str]) -> int:
-    before = text[max(0, mark.start() - 200):mark.start()].rstrip()
-    if not _REGEX_BEFORE.search(before):
+    end = mark.start()
+    while end and text[end - 1].isspace():
+        end -= 1
+    # The words that may stand here are short; one more character tells whether they are whole.
+    if not _REGEX_BEFORE.search(text, max(0, end - 7), end):
         out.append(mark.group())
         return mark.end()
     close = "/" + "#" * (len(mark.group()) - 1)

@@ -16,8 +16,9 @@ _SCOPES = T.StructType([T.StructField("depth", _INTS), T.StructField("path", T.A
 
 @F.pandas_udf(_PAIRS)
 def match_braces(braces: pd.Series) -> pd.DataFrame:
-    """For every brace of a string like ``{{}}``: its partner (or -1) and the depth after it."""
-    def pair(text: str) -> tuple[list[int], list[int]]:
+    """For every brace of a string like ``{{}}``: its partner (or -1) and the depth after it; none of a null."""
+    def pair(text: str | None) -> tuple[list[int], list[int]]:
+        text = text or ""
         partner, depth, open_at = [-1] * len(text), [0] * len(text), []
         for i, ch in enumerate(text):
             if ch == "{":
@@ -33,6 +34,8 @@ def match_braces(braces: pd.Series) -> pd.DataFrame:
 
 
 def _walk_scopes(up, down, header, wait: bool) -> tuple[list[int], list[str], list[int]]:
+    if up is None:
+        return [], [], []
     depth, stack = 0, []
     depths, paths, ends = [], [], [-1] * len(up)
     for i in range(len(up)):

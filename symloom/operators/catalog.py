@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symloom.functions.names import leaf
-from symloom.session import salted_join
+from symloom.session import cut_lineage, salted_join
 
 # Catalog member kinds, and the names of well-known bases.
 SDK_KINDS = ["Var", "Func", "Constructor", "Subscript", "Enum", "EnumElement", "TypeAlias", "AssociatedType"]
@@ -23,17 +23,20 @@ _ROOT = T.StructType([T.StructField("ABIRoot", T.StructType([
     T.StructField("name", T.StringType()), T.StructField("children", T.ArrayType(_CHILD))]))])
 
 
-def parse_sdk(docs: DataFrame, column: str = "value", levels: int = 8) -> DataFrame:
+def parse_sdk(docs: DataFrame, column: str = "value") -> DataFrame:
     """(type_name, kind, module, usr, member, member_kind, member_type) from catalog dumps.
 
-    Types nested in types are read level by level; the loop ends early when a
-    level holds no further types.
+    Types nested in types are read level by level, down to the deepest; every
+    level is written to the shared folder.
     """
     children = T.ArrayType(_CHILD)
     level = docs.select(F.explode(F.from_json(column, _ROOT)["ABIRoot"]["children"]).alias("c")).select("c.*")
     out = None
-    for _ in range(levels):
-        types_ = level.where("kind = 'TypeDecl'").withColumn("m", F.from_json("children", T.ArrayType(_CHILD2)))
+    while True:
+        level = cut_lineage(level.where("kind = 'TypeDecl'"))
+        if out is not None and level.isEmpty():
+            return out
+        types_ = level.withColumn("m", F.from_json("children", T.ArrayType(_CHILD2)))
         members = F.filter("m", lambda m: F.coalesce(m["declKind"], m["kind"]).isin(SDK_KINDS))
         rows = types_.select(
             F.col("name").alias("type_name"), F.coalesce("declKind", "kind").alias("kind"), F.col("moduleName").alias("module"),
@@ -41,8 +44,7 @@ def parse_sdk(docs: DataFrame, column: str = "value", levels: int = 8) -> DataFr
             "type_name", "kind", "module", "usr", F.col("m.name").alias("member"),
             F.coalesce("m.declKind", "m.kind").alias("member_kind"), F.col("m.printedName").alias("member_type"))
         out = rows if out is None else out.unionByName(rows)
-        level = types_.select(F.explode(F.from_json("children", children)).alias("c")).select("c.*").where("kind = 'TypeDecl'")
-    return out
+        level = types_.select(F.explode(F.from_json("children", children)).alias("c")).select("c.*")
 
 
 def reexports(docs: DataFrame, imported: DataFrame, column: str = "value") -> DataFrame:

@@ -13,9 +13,13 @@ TYPE_KINDS = ["class", "struct", "enum", "protocol", "actor"]
 
 
 def expand_aliases(nodes: DataFrame, aliases: DataFrame, key: str = "node_id") -> DataFrame:
-    """Replace adopted aliases by their protocols, one level, keeping order."""
+    """Replace adopted aliases by their protocols, one level, keeping order.
+
+    Of aliases declared twice the first by the other columns of ``aliases`` counts.
+    """
+    order = F.struct(*[F.col(c) for c in aliases.columns if c not in ("alias", "protocols")], "protocols")
     table = (aliases.where(F.size("protocols") > 0).groupBy(F.col("alias").alias("_a"))
-             .agg(F.first("protocols").alias("_p")))
+             .agg(F.min_by("protocols", order).alias("_p")))
     parts = nodes.select(key, F.posexplode("adopted").alias("pos", "_a"))
     whole = (salted_join(parts, table, "_a", F.struct(key, "pos"), "left")
              .groupBy(key).agg(F.array_sort(F.collect_list(
@@ -133,7 +137,6 @@ _NODE_TEXT = T.StructType([
     + [T.StructField(n, T.ArrayType(T.StringType())) for n in (
         "D_attributes", "E_adoptedClassProtocols", "I_parameters", "I_parameterType")]
     + [T.StructField("isException", T.IntegerType())])
-MAX_DEPTH = 1000
 
 
 def flatten(docs: DataFrame, column: str = "value", key: str = "doc_id") -> DataFrame:
@@ -152,12 +155,12 @@ def flatten(docs: DataFrame, column: str = "value", key: str = "doc_id") -> Data
     level = docs.select(F.col(key), F.lit("").alias("parent_path"), F.lit(0).alias("depth"),
                         F.posexplode(items(F.col(column))).alias("pos", "raw"))
     out = None
-    for _ in range(MAX_DEPTH):
+    while True:
         parsed = level.withColumn("w", F.from_json("raw", _NODE_TEXT))
         inner = F.from_json(F.col("w.node"), _NODE_TEXT)
         parsed = cut_lineage(parsed.withColumn("n", F.when(F.col("w.node").isNotNull(), inner).otherwise(F.col("w"))))
-        if parsed.isEmpty():
-            break
+        if out is not None and parsed.isEmpty():
+            return out
         name = F.trim(F.coalesce("n.A_name", F.lit("")))
         path = (F.when(F.col("parent_path") == "", name).when(name == "", F.col("parent_path"))
                 .otherwise(F.concat_ws(".", "parent_path", name)))
@@ -173,7 +176,6 @@ def flatten(docs: DataFrame, column: str = "value", key: str = "doc_id") -> Data
                .otherwise(F.array().cast(strings)) for c in ("w.children", "w.members", "w.extension", "w.G_members")]))
         level = parsed.select(key, path.alias("parent_path"), (F.col("depth") + 1).alias("depth"),
                               F.posexplode(below).alias("pos", "raw"))
-    return out
 
 
 def reroot(tree: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.functions import names, text as tx
+from symloom.functions import grammar as g, names, text as tx
 from symloom.functions.nesting import brace_pieces, match_braces
 from symloom.session import hold
 
@@ -201,7 +201,9 @@ def variables(files: DataFrame, profile: str = "swift", text: str = "text", keep
                 .select(*kept, F.regexp_extract("d", pattern, 1).alias("name"),
                         F.trim(F.regexp_extract("d", pattern, 2)).alias("initial_value")))
     clean = tx.blank_comments(F.col(text))
-    statements = F.regexp_extract_all(clean, F.lit(r"(?<!\b(?:if|guard|while|case)\s{1,4})(?<!,\s{0,4})\b(?:var|let)\s+([^\n{;]+)"), F.lit(1))
+    # What a condition or a pattern binds is no variable; it is matched with the word or comma before it, and left out.
+    bound = F.regexp_extract_all(clean, F.lit(r"(?:\b(?:if|guard|while|case|catch)\s+|,\s*)?\b(?:var|let)\s+[^\n{;]*[^\n{;,\s]"), F.lit(0))
+    statements = F.transform(F.filter(bound, lambda b: b.rlike(r"^(?:var|let)\s")), lambda b: F.regexp_replace(b, r"^\w+\s+", ""))
     binding = F.trim("b")
     return (files.select(*kept, F.explode(statements).alias("s"))
             .select(*kept, F.explode(names.split_params("s")).alias("b"))
@@ -314,7 +316,7 @@ def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[st
     return cut.select(*kept, F.explode(found).alias("b")).select(*kept, "b.*")
 
 
-FUNC_LINE = (r"(?m)^[ \t]*((?:@[\w:]+\s*)*\s*((?:\w+\s+)*)func\s+(\w+)\s*(?:<[^>]+>)?\s*\(([^)]*)\)[^\n]*)")
+FUNC_LINE = rf"(?m)^{g.SAME_LINE}({g.function_head()}[^\n]*)"
 
 
 def top_level_funcs(block_rows: DataFrame) -> DataFrame:
@@ -330,9 +332,9 @@ def all_funcs(block_rows: DataFrame) -> DataFrame:
 
 
 def _func_rows(df: DataFrame, column: str, kept: list[str]) -> DataFrame:
-    one = r"^((?:@[\w:]+\s*)*\s*((?:\w+\s+)*)func\s+(\w+)\s*(?:<[^>]+>)?\s*\(([^)]*)\).*)"
+    one = "(?s)^" + g.function_head(rf"({g.MODIFIERS})", r"(\w+)", rf"({g.PARAMETERS})")
     found = F.regexp_extract_all(F.col(column), F.lit(FUNC_LINE), F.lit(1))
     return (df.select(*kept, F.explode(found).alias("func_line"))
-            .select("*", F.trim(F.regexp_extract("func_line", one, 2)).alias("mods"),
-                    F.regexp_extract("func_line", one, 3).alias("func"),
-                    F.regexp_extract("func_line", one, 4).alias("params_src")))
+            .select("*", F.trim(F.regexp_extract("func_line", one, 1)).alias("mods"),
+                    F.regexp_extract("func_line", one, 2).alias("func"),
+                    F.regexp_extract("func_line", one, 3).alias("params_src")))

@@ -76,20 +76,17 @@ def glob_match(names: DataFrame, patterns: Iterable[str], column: str = "name")
     return distinct.join(table, "name", "left").select("name", F.explode(found).alias("pattern"))
 
 
-def policy_presence(names: DataFrame, policy: dict[str, list[str]], shown: int = 5) -> DataFrame:
-    """(category, finding, items) per ``section.category``: a lone ``*``,
-    wildcards without a match, and literals that are absent; first five shown."""
+def policy_presence(names: DataFrame, policy: dict[str, list[str]]) -> DataFrame:
+    """(category, finding, pattern) per ``section.category``: a lone ``*``,
+    wildcards without a match, and literals that are absent."""
     spark = names.sparkSession
     rows = [(cat, p.strip(), is_wildcard(p)) for cat, ps in policy.items() for p in dict.fromkeys(ps) if p.strip()]
     table = spark.createDataFrame(rows, "category string, pattern string, wild boolean")
     used = glob_match(names, [p for _, p, _ in rows]).select("pattern").distinct()
     missing = table.where("pattern <> '*'").join(used, "pattern", "left_anti")
-    findings = (table.where("pattern = '*'").select("category", F.lit("bare_star").alias("finding"), "pattern")
+    return (table.where("pattern = '*'").select("category", F.lit("bare_star").alias("finding"), "pattern")
                 .unionByName(missing.select("category", F.when(F.col("wild"), "wildcard_without_match")
                                             .otherwise("literal_absent").alias("finding"), "pattern")))
-    grouped = findings.groupBy("category", "finding").agg(F.sort_array(F.collect_set("pattern")).alias("p"))
-    return grouped.select("category", "finding", F.concat(
-        F.array_join(F.slice("p", 1, shown), ", "), F.when(F.size("p") > shown, F.lit(" ...")).otherwise("")).alias("items"))
 
 
 def policy_conflicts(policy: DataFrame) -> DataFrame:

@@ -13,14 +13,13 @@ from pyspark.sql import types as T
 from symloom.functions import calls as cl
 from symloom.functions.comments import strip_comments
 from symloom.operators.tokens import WORD
-from symloom.session import salted_join
+from symloom.session import hold, salted_join
 
 # What is copied unchanged in code: comments and string contents.
 MASKED = {
     "plain": "",
     "swift": r'(?s)/\*.*?\*/|//[^\n]*|""".*?"""|"(?:\\.|[^"\\\n])*"|',
 }
-SMALL_MAPPING = 200_000
 
 
 def _pieces(profile: str) -> str:
@@ -34,18 +33,13 @@ def _rewriter(profile: str):
     return re.compile(masked + r"(?P<name>[^\W\d]\w*)", re.S)
 
 
-def pseudonymize(files: DataFrame, mapping: DataFrame, key: str, text: str = "text", profile: str = "plain",
-                 small: int = SMALL_MAPPING) -> DataFrame:
+def pseudonymize(files: DataFrame, mapping: DataFrame, key: str, text: str = "text", profile: str = "plain") -> DataFrame:
     """Replace every whole-token occurrence of a mapped name.
 
-    A mapping of at most ``small`` rows (counted, not assumed) is sent to the
-    tasks and the texts are not shuffled at all. A larger one is joined to the
-    distinct tokens of each file; only the hits travel back to the files.
+    The mapping is joined to the distinct tokens of each file, and only the
+    hits travel back to the files, so it may be of any size.
     """
     pairs = mapping.select("target", "replacement").distinct()
-    head = pairs.limit(small + 1).collect()
-    if len(head) <= small:
-        return _by_table(files, {r[0]: r[1] for r in head}, text, profile)
     tokens = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_pieces(profile)), F.lit(0))),
                       lambda t: t.rlike(rf"^{WORD}$"))
     hits = salted_join(files.select(key, F.explode(tokens).alias("target")), pairs, "target", F.col(key))
@@ -60,6 +54,11 @@ def pseudonymize(files: DataFrame, mapping: DataFrame, key: str, text: str = "te
     return files.join(per_file, key, "left").withColumn(text, rewrite(text, "_from", "_to")).drop("_from", "_to")
 
 
+def pseudonymize_by_table(files: DataFrame, table: dict[str, str], text: str = "text", profile: str = "plain") -> DataFrame:
+    """The same for a mapping that the caller holds and states to be small; the texts are not moved."""
+    return _by_table(files, table, text, profile)
+
+
 def _replace(pattern: re.Pattern, text: str | None, table: dict[str, str]) -> str | None:
     if not table or text is None:
         return text
@@ -82,8 +81,7 @@ def strip_comments_lexed(files: DataFrame, text: str = "text") -> DataFrame:
     def strip(texts: pd.Series) -> pd.Series:
         return texts.map(strip_comments)
 
-    has_comment = F.col(text).contains("//") | F.col(text).contains("/*")
-    return files.withColumn(text, F.when(has_comment, strip(text)).otherwise(F.col(text)))
+    return files.withColumn(text, strip(text))
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("prefixed", T.BooleanType()),
@@ -133,7 +131,7 @@ _REMOVED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n
 
 
 def remove_calls(files: DataFrame, names: list[str] = cl.DEBUG_NAMES, text: str = "text") -> DataFrame:
-    """Text without the calls, and ``n_removed``. Files without a mention skip Python's work."""
+    """Text without the calls, and ``n_removed``; one pass over the texts. Null texts stay."""
     if not names:
         return files.withColumn("n_removed", F.lit(0))
     quiet = [n for n in names if n in cl.QUIET_NAMES]
@@ -142,9 +140,7 @@ def remove_calls(files: DataFrame, names: list[str] = cl.DEBUG_NAMES, text: str
     def strip(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cl.remove_calls(t, names, quiet) for t in texts], columns=["text", "n_removed"])
 
-    touched = files.where(_mentions(text, names)).withColumn("_r", strip(text))
-    changed = touched.withColumn(text, F.col("_r.text")).withColumn("n_removed", F.col("_r.n_removed")).drop("_r")
-    return changed.unionByName(files.where(~_mentions(text, names)).withColumn("n_removed", F.lit(0)))
+    return hold(files, "_r", strip(text)).withColumn(text, F.col("_r.text")).withColumn("n_removed", F.col("_r.n_removed")).drop("_r")
 
 
 def remove_statements(files: DataFrame, name: str, text: str = "text") -> DataFrame:

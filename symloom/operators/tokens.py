@@ -67,8 +67,8 @@ def occurrences(files: DataFrame, symbols: DataFrame, keys: list[str], text: str
     return salted_join(found, wanted, "name", F.struct(*keys, "line_no"), "left_semi")
 
 
-def body_refs(bodies: DataFrame, symbols: DataFrame, keys: list[str], body: str = "body", limit: int = 12) -> DataFrame:
-    """(keys, refs): the first ``limit`` other symbols mentioned in a body, in symbol order.
+def body_refs(bodies: DataFrame, symbols: DataFrame, keys: list[str], body: str = "body", limit: int | None = None) -> DataFrame:
+    """(keys, refs): the other symbols mentioned in a body, in symbol order; only the first ``limit`` if one is given.
 
     ``symbols`` has (name, ordinal); ``bodies`` has the keys, ``name`` and the text.
     """
@@ -77,7 +77,8 @@ def body_refs(bodies: DataFrame, symbols: DataFrame, keys: list[str], body: str
                  .where("token <> name"))
     hits = salted_join(mentioned, order, "token", F.struct(*keys))
     rank = Window.partitionBy(*keys).orderBy("ordinal", "token")
-    return (hits.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= limit)
+    ranked = hits.withColumn("rn", F.row_number().over(rank))
+    return ((ranked if limit is None else ranked.where(F.col("rn") <= limit))
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "token"))).alias("_r"))
             .select(*keys, F.transform("_r", lambda r: r["token"]).alias("refs")))
 
@@ -86,8 +87,8 @@ MORE = "\n... [truncated]"
 
 
 def snippets(files: DataFrame, hits: DataFrame, key: str, text: str = "text", context: int = 30,
-             max_chars: int = 8000) -> DataFrame:
-    """(name, key, start_line, end_line, snippet) around the hit line of each name.
+             max_chars: int | None = None) -> DataFrame:
+    """(name, key, start_line, end_line, snippet) around the hit line of each name, cut only if ``max_chars`` is given.
 
     ``hits`` has (name, key, line_no) with each name once. Hits are gathered
     per file, at most one per word of the file, and the lines are sliced in
@@ -101,7 +102,8 @@ def snippets(files: DataFrame, hits: DataFrame, key: str, text: str = "text", co
         start = F.greatest(hit["line_no"] - context, F.lit(1))
         end = F.least(hit["line_no"] + context, F.size("_lines"))
         whole = F.array_join(F.slice("_lines", start, end - start + 1), "\n")
-        shown = F.when(F.length(whole) > max_chars, F.concat(F.substring(whole, 1, max_chars), F.lit(MORE))).otherwise(whole)
+        shown = whole if max_chars is None else F.when(
+            F.length(whole) > max_chars, F.concat(F.substring(whole, 1, max_chars), F.lit(MORE))).otherwise(whole)
         return F.struct(hit["name"].alias("name"), start.alias("start_line"), end.alias("end_line"), shown.alias("snippet"))
 
     return (cut.select(key, F.explode(F.transform("_hits", one)).alias("s"))

@@ -88,11 +88,11 @@ def project_layout(spark, sf):
 
 
 @query("file_scoped_ids", f"""
-    SELECT p_partkey, substr(upper(sha256(path)), 1, 10) AS short_id FROM (SELECT p_partkey, {_PATH} AS path FROM part)""")
+    SELECT p_partkey, upper(sha256(path)) AS scoped_id FROM (SELECT p_partkey, {_PATH} AS path FROM part)""")
 def file_scoped_ids(spark, sf):
     from symloom.functions.names import file_scoped_id
 
-    return _paths(spark, sf).select("p_partkey", file_scoped_id("path").alias("short_id"))
+    return _paths(spark, sf).select("p_partkey", file_scoped_id("path").alias("scoped_id"))
 
 
 @query("squeeze_documents", r"""

@@ -13,15 +13,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.session import spread
-
-
-TEXT_TABLES = ("documents", "pages")
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def render(template: str) -> str:
@@ -89,7 +83,8 @@ SWIFT_PATH = render("Sources/<<p_type>>/Part<<p_partkey>>.swift")
 
 def swift_files(spark: SparkSession, sf: str) -> DataFrame:
     """(project, file_id, rel_path, text): one rendered source file per part."""
-    return spread(table(spark, sf, "part")).select(
+    # The narrow rows are dealt out before the texts are rendered from them.
+    return table(spark, sf, "part").repartition("p_partkey").select(
         F.expr("p_brand").alias("project"), F.expr("p_partkey").alias("file_id"),
         F.expr(SWIFT_PATH).alias("rel_path"), F.expr(render(SWIFT)).alias("text"))
 

@@ -175,13 +175,13 @@ def _dumps(spark, sf):
       {'type_name': 'T' || CAST(p_partkey AS STRING), 'kind': 'Class', 'module': 'Kit' || CAST(p_size AS STRING), 'member': 'N' || CAST(p_partkey AS STRING), 'member_kind': 'Enum'},
       {'type_name': 'N' || CAST(p_partkey AS STRING), 'kind': 'Enum', 'module': NULL, 'member': 'e' || CAST(p_size AS STRING), 'member_kind': 'EnumElement'}], recursive := true) FROM part""")
 def sdk_catalog(spark, sf):
-    return cat.parse_sdk(_dumps(spark, sf), levels=3).select("type_name", "kind", "module", "member", "member_kind")
+    return cat.parse_sdk(_dumps(spark, sf)).select("type_name", "kind", "module", "member", "member_kind")
 
 
 @query("sdk_names", """
     SELECT DISTINCT unnest(['T' || CAST(p_partkey AS STRING), 'N' || CAST(p_partkey AS STRING), 'v' || CAST(p_size AS STRING), 'f' || CAST(p_partkey AS STRING), 'e' || CAST(p_size AS STRING), 'a' || CAST(p_size AS STRING)]) AS name FROM part""")
 def sdk_names(spark, sf):
-    return cat.sdk_names(cat.parse_sdk(_dumps(spark, sf), levels=3))
+    return cat.sdk_names(cat.parse_sdk(_dumps(spark, sf)))
 
 
 @query("reexported_modules", """

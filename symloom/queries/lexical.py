@@ -150,7 +150,7 @@ _FUNCS = ", ".join([
     _fn(f"'load' || {_K}", 10, _P, "class", "'with id: Int, _ flag: [String: Int]'", "'Int|[String: Int]'", "'String'", "'static'", "true", _CONF, actor=_MAIN),
     _fn(f"'draw' || {_K}", 24, _P, "class", "'rect: Rect' || CAST(p_partkey % 3 AS STRING) || ' = zero'", "'Rect' || CAST(p_partkey % 3 AS STRING)", mods="'override'", conforms=_CONF, actor=_MAIN),
     _fn(f"'nested' || {_K}", 28, _P, "class", "''", "''", "'some View'", conforms=_CONF, actor=_MAIN),
-    _fn(f"'extra' || {_K}", 34, "'Part' || CAST(p_partkey % 50 AS STRING)", "extension", "'cb: @escaping (Int'", "'@escaping (Int'", "'Void)'", conforms="'Printable' || CAST(p_partkey % 4 AS STRING)", ext="true"),
+    _fn(f"'extra' || {_K}", 34, "'Part' || CAST(p_partkey % 50 AS STRING)", "extension", "'cb: @escaping (Int) -> Void'", "'@escaping (Int) -> Void'", "NULL", conforms="'Printable' || CAST(p_partkey % 4 AS STRING)", ext="true"),
     _fn(f"'peek' || {_K}", 40, f"'Store' || {_K}", "actor", "''", "''", mods="'nonisolated'"),
     _fn(f"'poke' || {_K}", 41, f"'Store' || {_K}", "actor", f"'_ x: inout Int, y: Mode' || {_K}", f"'inout Int|Mode' || {_K}"),
     _fn(f"'free' || {_K}", 44, "NULL", "", "''", "''", "'Self'"),

@@ -156,7 +156,7 @@ def replacement_mapping_checks(spark, sf):
 @query("allocated_names", """
     WITH free AS (SELECT p_name || CAST(p_size AS STRING) AS name, row_number() OVER (ORDER BY p_name || CAST(p_size AS STRING)) - 1 AS i FROM (SELECT DISTINCT p_name, p_size FROM part WHERE p_size % 5 <> 0)),
     f AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS f FROM supplier)
-    SELECT s_suppkey, CAST(slot AS INT) AS slot, name FROM f, range(0, 2) r(slot) JOIN free ON i = f * 2 + slot""")
+    SELECT s_suppkey, CAST(slot AS INT) AS slot, name, name IS NULL AS exhausted FROM (SELECT s_suppkey, slot, f * 2 + slot AS i FROM f, range(0, 2) r(slot)) LEFT JOIN free USING (i)""")
 def allocated_names(spark, sf):
     part = table(spark, sf, "part").select("p_size", F.concat("p_name", F.col("p_size").cast("string")).alias("name"))
     return mp.allocate_names(part, part.where("p_size % 5 = 0"), table(spark, sf, "supplier"), "s_suppkey", per_file=2)

@@ -30,11 +30,11 @@ def casing_styles(spark, sf):
 
 @query("casing_of_words", r"""
     SELECT style, count(*) AS n FROM (
-      SELECT CASE WHEN regexp_matches(w, '^\p{Lu}') THEN 'pascal' WHEN regexp_matches(w, '^\p{Ll}') THEN 'camel' ELSE 'any' END AS style FROM (
-        SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}_][\p{L}\p{N}_]*')) AS w FROM documents) WHERE w NOT LIKE '%\_%' ESCAPE '\') GROUP BY style""")
+      SELECT CASE WHEN w LIKE '%\_%' ESCAPE '\' THEN CASE WHEN regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '[\p{Ll}\p{Lt}]') THEN 'screaming' ELSE 'snake' END WHEN regexp_matches(w, '^\p{Lu}') THEN 'pascal' WHEN regexp_matches(w, '^\p{Ll}') THEN 'camel' ELSE 'any' END AS style FROM (
+        SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}_][\p{L}\p{N}_]*')) AS w FROM documents)) GROUP BY style""")
 def casing_of_words(spark, sf):
     found = table(spark, sf, "documents").select(F.explode(F.array_distinct(words("text"))).alias("w")).distinct()
-    return found.where(~F.col("w").contains("_")).groupBy(nm.casing("w").alias("style")).agg(F.count("*").alias("n"))
+    return found.groupBy(nm.casing("w").alias("style")).agg(F.count("*").alias("n"))
 
 
 @query("normalized_names", f"SELECT p_partkey, lower({_W1} || {_W2}) AS normal FROM part")

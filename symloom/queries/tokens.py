@@ -36,7 +36,7 @@ def first_file_of_names(spark, sf):
     WITH sym AS (SELECT token, min(item_id) AS ordinal FROM (SELECT item_id, unnest(regexp_extract_all(text, '{_WORD}')) AS token FROM benchmark) GROUP BY token),
     used AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(text, '{_WORD}')) AS token FROM documents),
     hit AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, token) AS rn FROM used JOIN sym USING (token) WHERE token <> lang)
-    SELECT doc_id, string_agg(token, '|' ORDER BY rn) AS refs FROM hit WHERE rn <= 12 GROUP BY doc_id""")
+    SELECT doc_id, string_agg(token, '|' ORDER BY rn) AS refs FROM hit GROUP BY doc_id""")
 def body_references(spark, sf):
     symbols = table(spark, sf, "benchmark").select(F.col("item_id").alias("ordinal"), F.explode(tok.words("text")).alias("name"))
     bodies = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("name"), F.col("text").alias("body"))
@@ -47,12 +47,11 @@ def body_references(spark, sf):
     WITH {_LINES}, {_WORDS}, {_HITS}, cut AS (
       SELECT name, spot.path AS path, greatest(spot.line_no - 2, 1) AS start_line, least(spot.line_no + 2, len(string_split(text, chr(10)))) AS end_line, string_split(text, chr(10)) AS l
       FROM hits JOIN documents ON spot.path = lpad(CAST(doc_id AS STRING), 9, '0'))
-    SELECT name, path, start_line, end_line, CASE WHEN length(s) > 300 THEN substr(s, 1, 300) || chr(10) || '... [truncated]' ELSE s END AS snippet
-    FROM (SELECT *, array_to_string(l[start_line:end_line], chr(10)) AS s FROM cut)""")
+    SELECT name, path, start_line, end_line, array_to_string(l[start_line:end_line], chr(10)) AS snippet FROM cut""")
 def context_snippets(spark, sf):
     docs = _docs(spark, sf)
     hits = tok.first_file(_bench_words(spark, sf), docs, "path")
-    return tok.snippets(docs, hits, "path", context=2, max_chars=300)
+    return tok.snippets(docs, hits, "path", context=2)
 
 
 _OCC = ", ".join(f"{{'name': {n}, 'line_no': {line}, 'role': '{role}'}}" for n, line, role in [
@@ -126,20 +125,22 @@ _PSEUDO = f"""
     SELECT doc_id, md5(string_agg(sep || CASE WHEN bench.name IS NULL THEN w ELSE 'w_' || w || '_x' END, '' ORDER BY i)) AS digest FROM pieces LEFT JOIN bench ON w = bench.name GROUP BY doc_id"""
 
 
-def _pseudo(spark, sf, small):
-    mapping = _bench_words(spark, sf).select(F.col("name").alias("target"), F.concat(F.lit("w_"), "name", F.lit("_x")).alias("replacement"))
-    out = rewrite.pseudonymize(table(spark, sf, "documents").select("doc_id", "text"), mapping, "doc_id", small=small)
-    return out.select("doc_id", F.md5("text").alias("digest"))
+def _pseudo_mapping(spark, sf):
+    return _bench_words(spark, sf).select(F.col("name").alias("target"), F.concat(F.lit("w_"), "name", F.lit("_x")).alias("replacement"))
 
 
 @query("pseudonymize_by_join", _PSEUDO)
 def pseudonymize_by_join(spark, sf):
-    return _pseudo(spark, sf, 0)
+    out = rewrite.pseudonymize(table(spark, sf, "documents").select("doc_id", "text"), _pseudo_mapping(spark, sf), "doc_id")
+    return out.select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("pseudonymize_by_table", _PSEUDO)
 def pseudonymize_by_table(spark, sf):
-    return _pseudo(spark, sf, rewrite.SMALL_MAPPING)
+    """The benchmark's words, a list of fixed length in the given tables, are held by the caller."""
+    held = {r["target"]: r["replacement"] for r in _pseudo_mapping(spark, sf).collect()}
+    out = rewrite.pseudonymize_by_table(table(spark, sf, "documents").select("doc_id", "text"), held)
+    return out.select("doc_id", F.md5("text").alias("digest"))
 
 
 _RENAMED = render(SWIFT.replace("url", "addr").replace("Int", "Num"))

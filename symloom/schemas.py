@@ -34,15 +34,3 @@ SDK_TYPES = T.StructType([
     T.StructField("members", T.MapType(T.StringType(), SDK_MEMBER))])
 
 LOG_LINES = T.StructType([_s("run_id"), T.StructField("ts", T.TimestampType()), _s("line")])
-
-
-def declaration_json(levels: int) -> T.StructType:
-    """One declaration node with ``levels`` levels of nested members."""
-    fields = [
-        _s("A_name"), _s("B_kind"), _s("C_accessLevel"), _strings("D_attributes"),
-        _strings("E_adoptedClassProtocols"), _s("F_location"), _s("H_initialValue"),
-        _strings("I_parameters"), _strings("I_parameterType"), _s("J_returnType"),
-        T.StructField("isException", T.IntegerType())]
-    if levels:
-        fields.append(T.StructField("G_members", T.ArrayType(declaration_json(levels - 1))))
-    return T.StructType(fields)

@@ -1,7 +1,11 @@
-"""Session settings, lineage cuts and the size check used before a broadcast."""
+"""Session settings, lineage cuts and joins with hot keys."""
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,17 +36,22 @@ def get_session(app: str = "symloom", master: str | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is used only in local mode, where nothing else is set.
+    Only a plain local session, where driver and tasks are one process, gets a
+    folder of its own when nothing is set; it goes when the process ends.
     """
-    sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="symloom-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return shared or sc.getCheckpointDir()
+    if shared is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        shared = _own_folder()
+    return shared
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="symloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -51,19 +60,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that was read in fewer pieces.
-
-    Text work costs far more than moving the rows, and a table that already
-    has enough partitions, as any large one does, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """``df`` as a Parquet table in the shared folder: columns can be pruned, and a lost executor costs nothing done before."""
+    folder = new_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column,

@@ -1,13 +1,7 @@
-"""Readers for name lists, rules, targets, candidate pools and policies.
-
-Policy files are small by contract (a config file over 5 MiB is refused), so
-their patterns may be held on the driver; name lists and pools may not.
-"""
+"""Readers for name lists, rules, targets, candidate pools and policies, all as tables."""
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +10,6 @@ from pyspark.sql import types as T
 
 from symloom import schemas
 
-MAX_POLICY_BYTES = 5 * 1024 * 1024
 KINDS = ["class", "struct", "enum", "protocol", "extension", "typealias", "function", "variable", "property"]
 SECTIONS = {"project": ["input", "output", "build_target"],
             "options": [],
@@ -178,23 +171,9 @@ def policy_findings(docs: DataFrame, column: str = "value") -> DataFrame:
     return parsed.select(*key, F.explode(all_found).alias("f")).select(*key, "f.finding", "f.item")
 
 
-def load_policy(path: str) -> dict[str, list[str]]:
-    """Cleaned patterns of one policy file, keyed ``section.category``.
-
-    The size limit is what bounds the pattern lists held on the driver.
-    """
-    if os.path.getsize(path) > MAX_POLICY_BYTES:
-        raise ValueError(f"policy file over {MAX_POLICY_BYTES} bytes: {path}")
-    with open(path, encoding="utf-8") as handle:
-        config = json.load(handle)
-    out: dict[str, list[str]] = {}
-    for section in ("include", "exclude"):
-        for category in SECTIONS[section]:
-            value = (config.get(section) or {}).get(category) or []
-            value = [value] if isinstance(value, str) else value
-            trimmed = [v.strip() for v in value if isinstance(v, str)]
-            out[f"{section}.{category}"] = list(dict.fromkeys(v for v in trimmed if v))
-    return out
+def load_policy(spark: SparkSession, path: str) -> DataFrame:
+    """The policy table of a file that Spark can read."""
+    return policy_table(spark.read.text(path, wholetext=True)).drop("value")
 
 
 def first_seen(df: DataFrame, keys: list[str], value: str, position: str) -> DataFrame:

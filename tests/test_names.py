@@ -50,7 +50,7 @@ def test_params(spark):
     assert got[1] == (["a: Int"], ["a"], ["a"], False)
     assert got[2] == (["_ b: [A, B] = [1, 2]", " with c: (Int, Int) -> Void"], ["_", "with"], ["b", "c"], True)
     assert got[3] == (["x: Map<K, V>", " _: Int"], ["x", "_"], ["x", "arg"], False)
-    assert got[4] == ([""], [], [], False)
+    assert got[4] == ([], [], [], False)
 
 
 def test_unescape(spark):

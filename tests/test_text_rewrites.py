@@ -36,11 +36,17 @@ def test_inline_and_multiline_calls():
     assert remove("Swift.print(1)") == ("", 1)
 
 
-def test_call_beyond_lookahead_stays():
-    long_call = "print(\n" + "1,\n" * 45 + "2)"
-    assert remove(long_call) == (long_call, 0)
-    short_call = "print(\n" + "1,\n" * 30 + "2)"
-    assert remove(short_call) == ("", 1)
+def test_calls_and_closures_of_any_length():
+    long_call = "print(\n" + "1,\n" * 450 + "2)"
+    assert remove(long_call) == ("", 1)
+    assert cl.call_spans(long_call, cl.DEBUG_NAMES) == [("print", False, 1, 452)]
+    closure = "xs.map {\n" + "a\n" * 450 + "print($0)\n}"
+    assert remove(closure) == (closure, 0)
+    assert remove("print(\n1") == ("print(\n1", 0)
+
+
+def test_null_texts():
+    assert remove(None) == (None, 0) and cl.call_spans(None, cl.DEBUG_NAMES) == [] and strip_comments(None) is None
 
 
 def test_statement_is_kept_in_case_and_guard():
@@ -70,7 +76,7 @@ def test_own_functions_are_not_debug_calls(spark):
 def test_pseudonymize_paths_agree(spark):
     files = spark.createDataFrame([(1, 'let url = "url" // url\nf($url, `url`, url2, naïve)'), (2, None), (3, "nothing")], "file_id int, text string")
     pairs = spark.createDataFrame([("url", "addr"), ("naïve", "clever")], "target string, replacement string")
-    for small in (0, 10):
-        for profile, want in (("swift", 'let addr = "url" // url\nf($addr, `addr`, url2, clever)'), ("plain", 'let addr = "addr" // addr\nf($addr, `addr`, url2, clever)')):
-            got = dict(map(tuple, rewrite.pseudonymize(files, pairs, "file_id", profile=profile, small=small).collect()))
-            assert got == {1: want, 2: None, 3: "nothing"}
+    for profile, want in (("swift", 'let addr = "url" // url\nf($addr, `addr`, url2, clever)'), ("plain", 'let addr = "addr" // addr\nf($addr, `addr`, url2, clever)')):
+        for out in (rewrite.pseudonymize(files, pairs, "file_id", profile=profile),
+                    rewrite.pseudonymize_by_table(files, dict(map(tuple, pairs.collect())), profile=profile)):
+            assert dict(map(tuple, out.collect())) == {1: want, 2: None, 3: "nothing"}
