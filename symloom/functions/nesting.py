@@ -61,6 +61,25 @@ def _scopes(wait: bool):
     return scopes
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def open_parens(parens: pd.Series) -> pd.Series:
+    """Per line, given as its parentheses only: those open at its start, outermost first, as ``line:which`` with commas between."""
+    def paths(lines) -> list[str] | None:
+        if lines is None:
+            return None
+        open_, out = [], []
+        for i, marks in enumerate(lines):
+            out.append(",".join(open_))
+            for k, mark in enumerate(marks):
+                if mark == "(":
+                    open_.append(f"{i}:{k}")
+                elif open_:
+                    open_.pop()
+        return out
+
+    return parens.map(paths)
+
+
 # Per line: brace depth before it, indexes of the headers open on it, and for a
 # header the index of its last line. A type header ends after the first line
 # whose depth falls back to its own; a function header first waits for its brace.

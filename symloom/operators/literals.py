@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import names, text as tx
-from symloom.functions.nesting import function_scopes, type_scopes
+from symloom.functions.nesting import function_scopes, open_parens, type_scopes
 from symloom.operators.lexical import LITERAL
 from symloom.session import hold
 
@@ -29,6 +29,8 @@ def _or(words: list[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+# Calls in calls before a literal on its line; deeper ones only blur which callee it belongs to.
+CLOSED_CALLS = 8
 _OPEN_ARGS = r"\s*\([^()]*$"
 _SOME_VIEW = r"(?:->|:)\s*some\s+(?:\w+\.)*View\b"
 _CONTAINER = rf"(?i)\b{_or(CONTAINERS)}\b[^{{}}]*\{{"
@@ -96,10 +98,12 @@ def literal_table(files: DataFrame, profile: str = "swift", text: str = "text",
         clean = F.split(tx.blank_comments(F.col(text)), "\n")
         z = F.col("_z")
         numbered = F.filter(F.transform(clean, lambda l, i: F.struct((i + 1).alias("no"), l.alias("s"))),
-                            lambda x: x["s"].rlike(r'["{}@]|\bfunc\b'))
+                            lambda x: x["s"].rlike(r'["{}()@]|\bfunc\b'))
+        bare = F.transform(z, lambda x: F.regexp_replace(x["s"], pattern, '""'))
         ups, downs = F.transform(z, lambda x: F.regexp_count(x["s"], F.lit(r"\{"))), F.transform(z, lambda x: F.regexp_count(x["s"], F.lit(r"\}")))
         located = (hold(files, "_z", numbered).drop(text)
                    .withColumn("_f", function_scopes(ups, downs, F.transform(z, lambda x: x["s"].rlike(_SCOPE))))
+                   .withColumn("_b", bare).withColumn("_p", open_parens(F.transform(bare, lambda b: F.regexp_replace(b, "[^()]", ""))))
                    .withColumn("_t", type_scopes(ups, downs, F.transform(z, lambda x: x["s"].rlike(_TYPE)))))
 
         def headers(path: Column) -> Column:
@@ -110,9 +114,22 @@ def literal_table(files: DataFrame, profile: str = "swift", text: str = "text",
             main_type = F.exists(F.transform(F.filter(F.split(type_path, ","), lambda p: p != ""), lambda p: p.cast("int")), lambda p:
                                  F.get("_z", p)["s"].rlike(r"@main\b") | F.coalesce(F.get("_z", p - 1)["s"].rlike(r"^\s*@main\s*$"), F.lit(False)))
             at_top = (type_path == "") & (F.get("_f.path", i) == "")
+            open_ = F.filter(F.split(F.get("_p", i), ","), lambda p: p != "")
+            gaps = F.split(F.get("_b", i), '""')
+
+            def before(p: Column) -> Column:
+                """The line up to the literal, without closed calls, behind the callee of the call that is open there."""
+                own = F.array_join(F.slice(gaps, F.lit(1), p["ordinal"] + 1), '""')
+                for _ in range(CLOSED_CALLS):
+                    own = F.regexp_replace(own, r"\([^()]*\)", "")
+                up = F.size(open_) - F.regexp_count(own, F.lit(r"\)"))
+                at = F.split(F.get(open_, up - 1), ":")
+                callee = F.get(F.split(F.get("_b", F.get(at, F.lit(0)).cast("int")), "[()]"), F.get(at, F.lit(1)).cast("int"))
+                return F.when(own.contains("(") | (up < 1), own).otherwise(F.concat(callee, F.lit("("), F.regexp_replace(own, r"^.*\)", "")))
+
             lits = F.transform(parts(x["s"]), lambda p: F.struct(
                 p["ordinal"].alias("ordinal"), p["value"].alias("value"),
-                swift_reasons(p["value"], p["before"], x["s"], scopes, main_type, at_top).alias("reasons")))
+                swift_reasons(p["value"], before(p), x["s"], scopes, main_type, at_top).alias("reasons")))
             return F.when(x["s"].contains('"'), F.struct(x["no"].alias("line_no"), x["s"].alias("line"), lits.alias("_l")))
 
         rows = (located.select(*kept, F.explode(F.filter(F.transform(z, row), lambda r: r.isNotNull())).alias("r"))

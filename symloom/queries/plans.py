@@ -75,7 +75,7 @@ def wrapped_functions(spark, sf):
 
 
 @query("protected_literals", f"""
-    SELECT p_partkey AS file_id, unnest([{{'line_no': 8, 'value': '"' || p_name || '"'}}, {{'line_no': 16, 'value': '"x)"'}}], recursive := true) FROM part""")
+    SELECT p_partkey AS file_id, unnest([{{'line_no': 8, 'value': '"' || p_name || '"'}}], recursive := true) FROM part""")
 def protected_literals(spark, sf):
     """Part types are excluded by policy; what is left is encrypted."""
     policy = table(spark, sf, "part").select(F.lit("exclude").alias("section"), F.lit("encryption").alias("category"), F.col("p_type").alias("pattern")).distinct()

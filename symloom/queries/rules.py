@@ -195,13 +195,13 @@ def kept_literals_markup(spark, sf):
 
 
 @query("literal_reasons_code", """
-    SELECT p_partkey AS file_id, unnest([{'line_no': 13, 'reason': 'debug'}, {'line_no': 30, 'reason': 'ui_keylike'}, {'line_no': 30, 'reason': 'view_container'}, {'line_no': 45, 'reason': 'global'}], recursive := true) FROM part""")
+    SELECT p_partkey AS file_id, unnest([{'line_no': 13, 'reason': 'debug'}, {'line_no': 16, 'reason': 'debug'}, {'line_no': 30, 'reason': 'ui_keylike'}, {'line_no': 30, 'reason': 'view_container'}, {'line_no': 45, 'reason': 'global'}], recursive := true) FROM part""")
 def literal_reasons_code(spark, sf):
     return lit.literal_reasons(lit.literal_table(swift_files(spark, sf), "swift", keep=["file_id"]), ["file_id"])
 
 
 @query("kept_literals_code", """
-    SELECT p_partkey AS file_id, unnest([{'line_no': 8, 'value': '"' || p_name || '"'}, {'line_no': 11, 'value': '"' || p_type || '"'}, {'line_no': 16, 'value': '"x)"'}], recursive := true) FROM part""")
+    SELECT p_partkey AS file_id, unnest([{'line_no': 8, 'value': '"' || p_name || '"'}, {'line_no': 11, 'value': '"' || p_type || '"'}], recursive := true) FROM part""")
 def kept_literals_code(spark, sf):
     return lit.keep_literals(lit.literal_table(swift_files(spark, sf), "swift", keep=["file_id"])).select("file_id", "line_no", "value")
 
@@ -221,7 +221,7 @@ def literal_policy(spark, sf):
 
 
 @query("literal_policy_report", f"""
-    WITH {_POLICY}, {_EFFECT}, v AS (SELECT unnest([{{'pattern': p_name, 'reason': ''}}, {{'pattern': p_type, 'reason': ''}}, {{'pattern': 'x)', 'reason': ''}}, {{'pattern': 'load ' || {_K}, 'reason': 'debug'}},
+    WITH {_POLICY}, {_EFFECT}, v AS (SELECT unnest([{{'pattern': p_name, 'reason': ''}}, {{'pattern': p_type, 'reason': ''}}, {{'pattern': 'x)', 'reason': 'debug'}}, {{'pattern': 'load ' || {_K}, 'reason': 'debug'}},
       {{'pattern': 'hi ' || p_name, 'reason': 'ui_keylike'}}, {{'pattern': p_brand, 'reason': 'global'}}], recursive := true) FROM part),
     c AS (SELECT pattern, reason, count(*) AS n FROM v GROUP BY ALL)
     SELECT pattern, CASE WHEN n > 0 THEN 'excluded_occurrences' ELSE 'unused_exclusion' END AS finding, CAST(n AS BIGINT) AS n FROM (SELECT e.pattern, coalesce(sum(c.n) FILTER (c.reason = ''), 0) AS n FROM eff e LEFT JOIN c USING (pattern) WHERE effect <> 'included' GROUP BY e.pattern)
