@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symloom.functions.names import leaf
-from symloom.session import cut_lineage, salted_join
+from symloom.session import cut_lineage, salted_join, scope
 
 # Catalog member kinds, and the names of well-known bases.
 SDK_KINDS = ["Var", "Func", "Constructor", "Subscript", "Enum", "EnumElement", "TypeAlias", "AssociatedType"]
@@ -71,10 +71,11 @@ def name_index(ext_nodes: DataFrame, name: str = "name", file: str = "ext_file")
 
 
 def _owner_matches(cands: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(node_id, base): an extension by its leaf name, any node by an adopted name."""
-    wanted = (cands.where("kind = 'extension'").select("node_id", leaf("name").alias("base"), F.lit(True).alias("by_name"))
-              .unionByName(cands.select("node_id", F.explode("adopted").alias("base"), F.lit(False).alias("by_name"))))
-    return salted_join(wanted, catalog.select(F.col("name").alias("base")).distinct(), "base", F.col("node_id"))
+    """(node_id, base): an extension by its leaf name, any node by an adopted name; within the project if the catalog has any."""
+    own = scope(cands, catalog)
+    wanted = (cands.where("kind = 'extension'").select("node_id", *own, leaf("name").alias("base"), F.lit(True).alias("by_name"))
+              .unionByName(cands.select("node_id", *own, F.explode("adopted").alias("base"), F.lit(False).alias("by_name"))))
+    return salted_join(wanted, catalog.select(*own, F.col("name").alias("base")).distinct(), [*own, "base"], F.col("node_id")).drop(*own)
 
 
 def _with_descendants(pairs: DataFrame, tree: DataFrame) -> DataFrame:

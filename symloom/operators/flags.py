@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions.names import parse_spec, unquote_backticks
-from symloom.session import salted_join
+from symloom.session import salted_join, scope
 
 
 def merge_exceptions(*sources: DataFrame, key: str = "location") -> DataFrame:
@@ -34,24 +34,25 @@ def tag_names(nodes: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def renameable(nodes: DataFrame) -> DataFrame:
-    """(kind, name) that may be renamed.
+    """([project,] kind, name) that may be renamed.
 
-    A name is held back when it is flagged anywhere with the same kind, or,
+    A name is held back when it is flagged anywhere in the project with the same kind, or,
     for variables, cases and functions, with any of the three. One aggregate
     per name decides; nothing is joined.
     """
+    own = scope(nodes)
     value_kind = F.col("kind").isin("variable", "case", "function")
     group = F.when(value_kind, "value").otherwise(F.col("kind"))
     rows = nodes.where("kind <> 'extension' or is_exception = 1").select(
-        "name", unquote_backticks("name").alias("bare"), "kind", group.alias("grp"), "is_exception")
+        *own, "name", unquote_backticks("name").alias("bare"), "kind", group.alias("grp"), "is_exception")
     # The stripped form is used for the cross-kind test only.
-    flagged = (rows.where("is_exception = 1").select(F.col("name").alias("n"), "grp").distinct())
-    kinds = rows.groupBy("name", "bare", "kind", "grp").agg(
+    flagged = (rows.where("is_exception = 1").select(*own, F.col("name").alias("n"), "grp").distinct())
+    kinds = rows.groupBy(*own, "name", "bare", "kind", "grp").agg(
         F.bool_or(F.col("is_exception") == 1).alias("same"), F.bool_or(F.col("is_exception") == 0).alias("free"))
     free = kinds.where("free and not same and kind <> 'extension'")
-    values = flagged.where("grp = 'value'").select(F.col("n").alias("bare"))
-    return (free.where("grp <> 'value'").select("kind", "name")
-            .unionByName(free.where("grp = 'value'").join(values, "bare", "left_anti").select("kind", "name")))
+    values = flagged.where("grp = 'value'").select(*own, F.col("n").alias("bare"))
+    return (free.where("grp <> 'value'").select(*own, "kind", "name")
+            .unionByName(free.where("grp = 'value'").join(values, [*own, "bare"], "left_anti").select(*own, "kind", "name")))
 
 
 def merge_kinds(names: DataFrame) -> DataFrame:

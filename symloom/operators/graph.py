@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symloom.functions.names import leaf
-from symloom.session import cut_lineage, salted_join
+from symloom.session import cut_lineage, salted_join, scope
 
 TYPE_KINDS = ["class", "struct", "enum", "protocol", "actor"]
 
@@ -18,10 +18,11 @@ def expand_aliases(nodes: DataFrame, aliases: DataFrame, key: str = "node_id") -
     Of aliases declared twice the first by the other columns of ``aliases`` counts.
     """
     order = F.struct(*[F.col(c) for c in aliases.columns if c not in ("alias", "protocols")], "protocols")
-    table = (aliases.where(F.size("protocols") > 0).groupBy(F.col("alias").alias("_a"))
+    own = scope(nodes, aliases)
+    table = (aliases.where(F.size("protocols") > 0).groupBy(*own, F.col("alias").alias("_a"))
              .agg(F.min_by("protocols", order).alias("_p")))
-    parts = nodes.select(key, F.posexplode("adopted").alias("pos", "_a"))
-    whole = (salted_join(parts, table, "_a", F.struct(key, "pos"), "left")
+    parts = nodes.select(key, *own, F.posexplode("adopted").alias("pos", "_a"))
+    whole = (salted_join(parts, table, [*own, "_a"], F.struct(key, "pos"), "left")
              .groupBy(key).agg(F.array_sort(F.collect_list(
                  F.struct("pos", F.coalesce("_p", F.array("_a")).alias("p")))).alias("_x"))
              .select(key, F.flatten(F.transform("_x", lambda x: x["p"])).alias("_adopted")))
@@ -30,41 +31,45 @@ def expand_aliases(nodes: DataFrame, aliases: DataFrame, key: str = "node_id") -
 
 
 def edges(nodes: DataFrame) -> DataFrame:
-    """(parent, child_id, child, rel): adopted types and extended types."""
+    """([project,] parent, child_id, child, rel): adopted types and extended types."""
+    own = scope(nodes)
     adopts = (nodes.where("kind <> 'extension'")
-              .select(F.explode("adopted").alias("parent"), F.col("node_id").alias("child_id"),
+              .select(*own, F.explode("adopted").alias("parent"), F.col("node_id").alias("child_id"),
                       F.col("name").alias("child"), F.lit("adopts").alias("rel")))
     extends = (nodes.where("kind = 'extension'")
-               .select(leaf("name").alias("parent"), F.col("node_id").alias("child_id"),
+               .select(*own, leaf("name").alias("parent"), F.col("node_id").alias("child_id"),
                        F.col("name").alias("child"), F.lit("extends").alias("rel")))
     return adopts.unionByName(extends)
 
 
 def declared_types(nodes: DataFrame) -> DataFrame:
-    """(name, node_id): the first declaration of every type name."""
-    return nodes.where(F.col("kind").isin(TYPE_KINDS)).groupBy("name").agg(F.min("node_id").alias("node_id"))
+    """([project,] name, node_id): the first declaration of every type name."""
+    return nodes.where(F.col("kind").isin(TYPE_KINDS)).groupBy(*scope(nodes), "name").agg(F.min("node_id").alias("node_id"))
 
 
 def link_parents(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add ``parent_id``, null where the parent is not declared here."""
-    table = declared_types(nodes).select(F.col("name").alias("parent"), F.col("node_id").alias("parent_id"))
-    return salted_join(edge_rows, table, "parent", F.col("child_id"), "left")
+    """Add ``parent_id``, null where the parent is not declared in the project."""
+    own = scope(edge_rows, nodes)
+    table = declared_types(nodes).select(*own, F.col("name").alias("parent"), F.col("node_id").alias("parent_id"))
+    return salted_join(edge_rows, table, [*own, "parent"], F.col("child_id"), "left")
 
 
 def no_inheritance(nodes: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Types that adopt nothing and are nobody's parent."""
     alone = nodes.where(F.col("kind").isin(TYPE_KINDS) & (F.size("adopted") == 0))
-    parents = edge_rows.select(F.col("parent").alias("name")).distinct()
-    return salted_join(alone, parents, "name", F.col("node_id"), "left_anti").select(*nodes.columns)
+    own = scope(nodes, edge_rows)
+    parents = edge_rows.select(*own, F.col("parent").alias("name")).distinct()
+    return salted_join(alone, parents, [*own, "name"], F.col("node_id"), "left_anti").select(*nodes.columns)
 
 
 def fold_extensions(nodes: DataFrame) -> DataFrame:
     """Add what extensions adopt to the extended type."""
-    extra = (nodes.where("kind = 'extension'").select(leaf("name").alias("name"), F.explode("adopted").alias("a"))
-             .groupBy("name").agg(F.sort_array(F.collect_set("a")).alias("_extra")))
+    own = scope(nodes)
+    extra = (nodes.where("kind = 'extension'").select(*own, leaf("name").alias("name"), F.explode("adopted").alias("a"))
+             .groupBy(*own, "name").agg(F.sort_array(F.collect_set("a")).alias("_extra")))
     base = nodes.where(F.col("kind").isin(TYPE_KINDS))
     rest = nodes.where(~F.col("kind").isin(TYPE_KINDS))
-    folded = (salted_join(base, extra, "name", F.col("node_id"), "left")
+    folded = (salted_join(base, extra, [*own, "name"], F.col("node_id"), "left")
               .withColumn("adopted", F.when(F.col("_extra").isNull(), F.col("adopted"))
                           .otherwise(F.array_union("adopted", "_extra"))).select(*nodes.columns))
     return folded.unionByName(rest)
@@ -72,8 +77,9 @@ def fold_extensions(nodes: DataFrame) -> DataFrame:
 
 def external_candidates(nodes: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Nodes below an undeclared parent, and all extensions."""
-    known = declared_types(nodes).select(F.col("name").alias("parent"))
-    below = (salted_join(edge_rows, known, "parent", F.col("child_id"), "left_anti")
+    own = scope(nodes, edge_rows)
+    known = declared_types(nodes).select(*own, F.col("name").alias("parent"))
+    below = (salted_join(edge_rows, known, [*own, "parent"], F.col("child_id"), "left_anti")
              .select(F.col("child_id").alias("node_id")))
     return below.union(nodes.where("kind = 'extension'").select("node_id")).distinct()
 

@@ -285,7 +285,7 @@ def blocks(files: DataFrame, kinds: list[str], text: str = "text", keep: list[st
     every nested block reduced to ``{}``; ``outer_lines`` keeps what stands on
     the line of a nested block's opening brace.
     """
-    kept = keep or [c for c in files.columns if c != text]
+    kept = [c for c in files.columns if c != text] if keep is None else keep
     header = rf"(?s).*\b({'|'.join(kinds)})\s+({NAME})\b[^\\]*$"
     pieces, braces = brace_pieces(F.col("_text"))
     cut = hold(files.select(*kept, F.col(text).alias("_text")), "_x", F.struct(pieces.alias("p"), braces.alias("b")))

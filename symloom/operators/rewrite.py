@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from symloom.functions import calls as cl
 from symloom.functions.comments import strip_comments
 from symloom.operators.tokens import WORD
-from symloom.session import hold, salted_join
+from symloom.session import hold, salted_join, scope
 
 # What is copied unchanged in code: comments and string contents.
 MASKED = {
@@ -93,11 +93,11 @@ def _mentions(text: str, names: list[str]):
 
 
 def user_defined(files: DataFrame, names: list[str] = cl.DEBUG_NAMES, text: str = "text") -> DataFrame:
-    """Call names that the corpus defines itself; at most one row per name."""
+    """([project,] name) of calls that the corpus defines itself; at most one row per name and project."""
     pattern = (r"(?m)^\s*(?:public|internal|private|fileprivate)?\s*(?:final\s+)?(?:static\s+)?func\s+("
                + "|".join(names) + r")\b")
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    return files.select(F.explode(found).alias("name")).distinct()
+    return files.select(*scope(files), F.explode(found).alias("name")).distinct()
 
 
 def debug_calls(files: DataFrame, own: DataFrame, names: list[str] = cl.DEBUG_NAMES, text: str = "text",
@@ -110,14 +110,15 @@ def debug_calls(files: DataFrame, own: DataFrame, names: list[str] = cl.DEBUG_NA
         return texts.map(lambda t: [{"name": n, "prefixed": p, "start_line": s, "end_line": e}
                                     for n, p, s, e in cl.call_spans(t, names)])
 
-    found = (files.where(_mentions(text, names)).select(*kept, F.split(text, "\n").alias("_l"), spans(text).alias("_s"))
-             .select(*kept, F.explode(F.transform("_s", lambda s: F.struct(
+    own_scope = scope(files, own)
+    extra = [c for c in own_scope if c not in kept]
+    found = (files.where(_mentions(text, names)).select(*kept, *extra, F.split(text, "\n").alias("_l"), spans(text).alias("_s"))
+             .select(*kept, *extra, F.explode(F.transform("_s", lambda s: F.struct(
                  s["name"].alias("name"), s["prefixed"].alias("prefixed"), s["start_line"].alias("start_line"),
                  s["end_line"].alias("end_line"), F.trim(F.get("_l", s["start_line"] - 1)).alias("code")))).alias("s"))
-             .select(*kept, "s.*"))
-    # At most one row per call name, so this side has a fixed bound.
-    defined = own.select("name").where(F.col("name").isin(names)).distinct().withColumn("_own", F.lit(True))
-    return found.join(F.broadcast(defined), "name", "left").where("_own is null or prefixed").drop("_own", "prefixed").select(
+             .select(*kept, *extra, "s.*"))
+    defined = own.select(*own_scope, "name").where(F.col("name").isin(names)).distinct().withColumn("_own", F.lit(True))
+    return found.join(defined, [*own_scope, "name"], "left").where("_own is null or prefixed").drop("_own", "prefixed").select(
         *kept, "name", "start_line", "end_line", "code")
 
 
@@ -130,17 +131,29 @@ def debug_report(calls: DataFrame, path: str) -> DataFrame:
 _REMOVED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())])
 
 
-def remove_calls(files: DataFrame, names: list[str] = cl.DEBUG_NAMES, text: str = "text") -> DataFrame:
-    """Text without the calls, and ``n_removed``; one pass over the texts. Null texts stay."""
-    if not names:
-        return files.withColumn("n_removed", F.lit(0))
-    quiet = [n for n in names if n in cl.QUIET_NAMES]
+def remove_calls(files: DataFrame, names: list[str] = cl.DEBUG_NAMES, text: str = "text", own: DataFrame | None = None) -> DataFrame:
+    """Text without the calls, and ``n_removed``; one pass over the texts. Null texts stay.
 
-    @F.pandas_udf(_REMOVED)
-    def strip(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cl.remove_calls(t, names, quiet) for t in texts], columns=["text", "n_removed"])
+    ``own`` is what :func:`user_defined` finds: names that a project defines
+    itself stay in its files, a handful per project at most.
+    """
+    kept_names = F.array().cast("array<string>")
+    columns = files.columns
+    if own is not None:
+        by = scope(files, own)
+        per = own.where(F.col("name").isin(names)).groupBy(*by).agg(F.collect_set("name").alias("_own"))
+        files = files.join(per, by, "left") if by else files.crossJoin(F.broadcast(per))  # without projects: one row
+        kept_names = F.coalesce("_own", kept_names)
 
-    return hold(files, "_r", strip(text)).withColumn(text, F.col("_r.text")).withColumn("n_removed", F.col("_r.n_removed")).drop("_r")
+    @F.pandas_udf(_REMOVED)
+    def strip(texts: pd.Series, owned: pd.Series) -> pd.DataFrame:
+        rows = []
+        for value, mine in zip(texts, owned):
+            wanted = [n for n in names if n not in mine]
+            rows.append(cl.remove_calls(value, wanted, [n for n in wanted if n in cl.QUIET_NAMES]) if wanted else (value, 0))
+        return pd.DataFrame(rows, columns=["text", "n_removed"])
+
+    return hold(files, "_r", strip(text, kept_names)).withColumn(text, F.col("_r.text")).select(*columns, F.col("_r.n_removed").alias("n_removed"))
 
 
 def remove_statements(files: DataFrame, name: str, text: str = "text") -> DataFrame:

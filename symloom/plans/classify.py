@@ -37,7 +37,7 @@ def classify(files: DataFrame, ext_nodes: DataFrame, ext_members: DataFrame, sdk
     Texts are scanned once for nodes and once for aliases; the node table is
     written down, since every later step reads it.
     """
-    nodes = cut_lineage(graph.fold_extensions(graph.expand_aliases(lexical.declarations(files), lexical.aliases(files, keep=["file_id"]))))
+    nodes = cut_lineage(graph.fold_extensions(graph.expand_aliases(lexical.declarations(files), lexical.aliases(files, keep=["project", "file_id"]))))
     found = exception_reasons(nodes, ext_nodes, ext_members, sdk, listed)
     reasons = found.groupBy("node_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
     out = (nodes.join(reasons, "node_id", "left").withColumn("is_exception", F.col("reasons").isNotNull().cast("int"))

@@ -37,6 +37,5 @@ def remove_debug_calls(files: DataFrame, id_column: str = "file_id", path: str =
     """Files without debug calls, the calls found, their report, and what changed."""
     own = rewrite.user_defined(files)
     calls = rewrite.debug_calls(files, own, keep=[id_column, path])
-    defined = {r[0] for r in own.collect()}  # at most one row per debug name
-    cleaned = rewrite.remove_calls(files, [n for n in DEBUG_NAMES if n not in defined])
+    cleaned = rewrite.remove_calls(files, DEBUG_NAMES, own=own)
     return Quiet(cleaned, calls, rewrite.debug_report(calls, path), rewrite.diff_files(files, cleaned, id_column))

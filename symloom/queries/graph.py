@@ -46,6 +46,44 @@ def linked_parents(spark, sf):
     return g.link_parents(g.edges(nodes), nodes).select("parent", "child_id", "rel", "parent_id")
 
 
+# Customers as types of projects that share type names.
+_SHARED = """shared AS (SELECT c_nationkey AS project, c_custkey AS node_id, 'T' || CAST(c_custkey % 30 AS STRING) AS name,
+    CASE c_custkey % 4 WHEN 0 THEN 'extension' ELSE 'class' END AS kind, 'T' || CAST(c_custkey * 7 % 40 AS STRING) AS base FROM customer)"""
+
+
+def _shared_types(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("project"), k.alias("node_id"), F.concat(F.lit("T"), (k % 30).cast("string")).alias("name"),
+        F.when(k % 4 == 0, "extension").otherwise("class").alias("kind"), F.array(F.concat(F.lit("T"), (k * 7 % 40).cast("string"))).alias("adopted"))
+
+
+@query("linked_parents_by_project", f"""
+    WITH {_SHARED}, e AS (SELECT project, CASE kind WHEN 'extension' THEN name ELSE base END AS parent, node_id AS child_id FROM shared),
+    t AS (SELECT project, name AS parent, min(node_id) AS parent_id FROM shared WHERE kind = 'class' GROUP BY ALL)
+    SELECT project, parent, child_id, parent_id FROM e LEFT JOIN t USING (project, parent)""")
+def linked_parents_by_project(spark, sf):
+    nodes = _shared_types(spark, sf)
+    return g.link_parents(g.edges(nodes), nodes).select("project", "parent", "child_id", "parent_id")
+
+
+@query("folded_extensions_by_project", f"""
+    WITH {_SHARED}, x AS (SELECT project, name, list(DISTINCT base) AS extra FROM shared WHERE kind = 'extension' GROUP BY ALL)
+    SELECT project, node_id, array_to_string(list_sort(list_distinct([base] || coalesce(extra, []))), '|') AS adopted FROM shared LEFT JOIN x USING (project, name) WHERE kind = 'class'""")
+def folded_extensions_by_project(spark, sf):
+    folded = g.fold_extensions(_shared_types(spark, sf)).where("kind = 'class'")
+    return folded.select("project", "node_id", F.array_join(F.array_sort(F.array_distinct("adopted")), "|").alias("adopted"))
+
+
+@query("renameable_names_by_project", f"""
+    WITH {_SHARED}, n AS (SELECT project, name, kind, max(CAST(node_id % 11 = 0 AS INT)) AS flagged FROM shared GROUP BY ALL)
+    SELECT project, kind, name FROM n WHERE kind = 'class' AND flagged = 0""")
+def renameable_names_by_project(spark, sf):
+    from symloom.operators.flags import renameable
+
+    return renameable(_shared_types(spark, sf).withColumn("is_exception", (F.col("node_id") % 11 == 0).cast("int")))
+
+
 @query("types_without_relations", f"""
     WITH {NODES_CTE}, {_EDGES} SELECT node_id FROM nodes WHERE kind IN {_TYPES} AND node_id % 30 = 1 AND name NOT IN (SELECT parent FROM e WHERE child_id % 30 <> 1)""")
 def types_without_relations(spark, sf):

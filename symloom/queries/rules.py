@@ -72,10 +72,10 @@ _HARD = ", ".join(f"{{'name': '{n}' || {_K}, 'comment': '{c}'}}" for n, c in [
 
 
 @query("generated_rules", f"""
-    WITH src AS (SELECT *, {SWIFT_PATH} AS path FROM part), soft AS (SELECT path, unnest([{_SOFT}], recursive := true) FROM src UNION ALL SELECT path, unnest([{_TYPED}], recursive := true) FROM src WHERE p_partkey % 6 = 0),
-    hard AS (SELECT unnest([{_HARD}], recursive := true) FROM src WHERE p_partkey % 6 <> 0),
-    first AS (SELECT name, arg_min({{'kind': kind, 'comment': comment}}, {{'path': path, 'step': step, 'pos': pos}}) AS r FROM soft GROUP BY name)
-    SELECT name, 'function' AS kind, comment FROM hard UNION ALL SELECT name, r.kind, r.comment FROM first WHERE name NOT IN (SELECT name FROM hard)""")
+    WITH src AS (SELECT *, {SWIFT_PATH} AS path, p_brand AS project FROM part), soft AS (SELECT project, path, unnest([{_SOFT}], recursive := true) FROM src UNION ALL SELECT project, path, unnest([{_TYPED}], recursive := true) FROM src WHERE p_partkey % 6 = 0),
+    hard AS (SELECT project, unnest([{_HARD}], recursive := true) FROM src WHERE p_partkey % 6 <> 0),
+    first AS (SELECT project, name, arg_min({{'kind': kind, 'comment': comment}}, {{'path': path, 'step': step, 'pos': pos}}) AS r FROM soft GROUP BY project, name)
+    SELECT project, name, 'function' AS kind, comment FROM hard UNION ALL SELECT project, name, r.kind, r.comment FROM first WHERE (project, name) NOT IN (SELECT (project, name) FROM hard)""")
 def generated_rules(spark, sf):
     files = swift_files(spark, sf).withColumn("text", F.when(F.col("file_id") % 6 == 0, F.concat("text", F.lit("#if DEBUG\n#endif\n"))).otherwise(F.col("text")))
     return rl.generate_rules(files, extensions=True, actors=True, global_actors=True)
@@ -106,7 +106,7 @@ def rule_partition(spark, sf):
 _PROTO = "'Proto' || CAST(p_partkey % 11 AS STRING)"
 
 
-@query("protocol_requirements", f"SELECT DISTINCT {_PROTO} AS protocol, 'draw' || {_K} || '/1/rect' AS func_key FROM part")
+@query("protocol_requirements", f"SELECT DISTINCT p_brand AS project, {_PROTO} AS protocol, 'draw' || {_K} || '/1/rect' AS func_key FROM part")
 def protocol_requirements(spark, sf):
     return scopes.protocol_requirements(swift_files(spark, sf))
 
@@ -119,17 +119,17 @@ def protocol_implementations(spark, sf):
     return out.select("file_id", "name", F.array_join("matched_internal_protocols", "|").alias("matched"), F.col("has_external_protocols_in_scope").alias("outside"))
 
 
-@query("local_types", f"SELECT DISTINCT unnest(['Part' || {_K}, 'Mode' || {_K}, 'Store' || {_K}]) AS name FROM part")
+@query("local_types", f"SELECT DISTINCT p_brand AS project, unnest(['Part' || {_K}, 'Mode' || {_K}, 'Store' || {_K}]) AS name FROM part")
 def local_types(spark, sf):
     return scopes.local_types(swift_files(spark, sf))
 
 
-@query("actor_types", f"SELECT 'Store' || {_K} AS name FROM part")
+@query("actor_types", f"SELECT p_brand AS project, 'Store' || {_K} AS name FROM part")
 def actor_types(spark, sf):
     return scopes.actor_types(swift_files(spark, sf))
 
 
-@query("global_actor_types", f"SELECT 'Part' || {_K} AS name FROM part WHERE p_size % 5 = 0")
+@query("global_actor_types", f"SELECT p_brand AS project, 'Part' || {_K} AS name FROM part WHERE p_size % 5 = 0")
 def global_actor_types(spark, sf):
     return scopes.global_actor_types(swift_files(spark, sf))
 

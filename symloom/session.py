@@ -66,7 +66,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column,
+def scope(*tables: DataFrame) -> list[str]:
+    """``["project"]`` if all tables name the project of their rows, else nothing.
+
+    Names mean something within their project only, so joins and groups by
+    name take this along wherever it is there; it also splits common names.
+    """
+    return ["project"] if all("project" in t.columns for t in tables) else []
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], spread: Column,
                 how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join where single keys of ``big`` may hold a large share of its rows.
 
@@ -78,7 +87,7 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column,
         raise ValueError(f"unsupported join type {how}")
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
 
 
 def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
