@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import names as nm
@@ -44,13 +44,40 @@ def declaration_sites(idents: DataFrame, files: DataFrame, path: str, text: str
     return own.join(alias, ["path", "alias"], "left").select("name", "path", F.coalesce("own_line", "alias_line").alias("decl_line"))
 
 
+# What a record may say about a symbol, in this order.
+SYMBOL_FIELDS = ["symbolName", "symbolKind", "typeSignature", "references", "calls_out", "conforms"]
+SYMBOL_LISTS = ["references", "calls_out", "conforms"]
+
+
+def _json_string(text: Column) -> Column:
+    """A JSON string, quotes included."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def symbol_json(columns: list[str]) -> Column:
+    """The symbol as JSON indented by two, from those of the fields that are columns and not null."""
+    def field(name: str) -> Column:
+        if name in SYMBOL_LISTS:
+            items = F.array_join(F.transform(name, lambda v: F.concat(F.lit("    "), _json_string(v))), ",\n")
+            value = F.when(F.size(name) == 0, "[]").otherwise(F.concat(F.lit("[\n"), items, F.lit("\n  ]")))
+        else:
+            value = _json_string(F.col(name))
+        return F.when(F.col(name).isNotNull(), F.concat(F.lit(f'  "{name}": '), value))
+
+    present = F.array_compact(F.array(*[field(n) for n in SYMBOL_FIELDS if n in columns]))
+    return F.when(F.size(present) == 0, "{}").otherwise(F.concat(F.lit("{\n"), F.array_join(present, ",\n"), F.lit("\n}")))
+
+
 def payloads(sites: DataFrame) -> DataFrame:
-    """Add ``payload``: one JSON record per name from ``code``, ``name`` and ``kind``."""
-    symbol = F.to_json(F.struct(F.col("name").alias("symbolName"), F.col("kind").alias("symbolKind")))
+    """Add ``payload``: one JSON record per row from ``code``, ``name`` and ``kind``, or from more of the symbol's fields if there are such columns."""
+    named = sites
+    for own, given in (("symbolName", "name"), ("symbolKind", "kind")):
+        if own not in sites.columns:
+            named = named.withColumn(own, F.col(given))
     body = F.concat(F.lit("**Swift Source Code:**\n```swift\n"), F.rtrim("code"), F.lit("\n```\n\n**AST Symbol Information (Target: `"),
-                    "name", F.lit("`):**\n```json\n"), symbol, F.lit("\n```\n\n**Target Identifier:** `"), "name", F.lit("`"))
-    return sites.withColumn("payload", F.to_json(F.struct(
-        F.lit(INSTRUCTION).alias("instruction"), body.alias("input"), F.lit(ANSWER).alias("output"))))
+                    "name", F.lit("`):**\n```json\n"), symbol_json(named.columns), F.lit("\n```\n\n**Target Identifier:** `"), "name", F.lit("`"))
+    return named.withColumn("payload", F.to_json(F.struct(
+        F.lit(INSTRUCTION).alias("instruction"), body.alias("input"), F.lit(ANSWER).alias("output")))).select(*sites.columns, "payload")
 
 
 Scorer = Callable[[str, str, str], str]

@@ -89,6 +89,69 @@ def swift_files(spark: SparkSession, sf: str) -> DataFrame:
         F.expr(SWIFT_PATH).alias("rel_path"), F.expr(render(SWIFT)).alias("text"))
 
 
+# A second kind of file: every reason for a literal to stay, regions, case and guard blocks. Lines are numbered in comments where oracles need them.
+SWIFT_2 = """import UIKit
+let root<<p_partkey>> = "global text"
+@main struct Entry<<p_partkey>>: App {
+    static func main() {
+        start("entry <<p_name>>")
+    }
+}
+class Screen<<p_size>> {
+    @available(*, message: "attr text")
+    func show<<p_partkey>>() {
+        cell(withIdentifier: "cell id")
+        log(f(g(1)), "debug text")
+        use(NSLocalizedString(
+            "localized key", comment: c))
+        alert.title(
+            "ui text"
+        )
+        plain("kept <<p_name>>", "x")
+        plain("kept <<p_type>>")
+        plain("value <<chr(92)>>(x)")
+        set(#imageLiteral(resourceName: "image"))
+        let k: LocalizedStringKey = "resource"
+    }
+    #if DEBUG
+    func hidden<<p_partkey>>() {
+    }
+    #endif
+    /* func commented() {
+    */
+    func after<<p_partkey>>() {
+        switch x {
+        case 1:
+            print("a")
+        default:
+            VStack { label("in a container") }
+        }
+        guard ok else {
+            assert(false)
+        }
+    }
+    @objc
+    func marked<<p_partkey>>() {
+    }
+    static func fixed() {
+    }
+    func result() -> Int {
+    }
+}
+extension Screen<<p_size>> {
+    func inExtension() {
+    }
+}
+"""
+
+
+def second_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(project, file_id, text): the second template, with every seventh text null, every seventh empty and every seventh unbalanced."""
+    k, whole = F.col("p_partkey"), F.expr(render(SWIFT_2))
+    text = (F.when(k % 7 == 1, F.lit(None).cast("string")).when(k % 7 == 2, "").when(k % 7 == 3, F.lit("} ) { func x( {\n\"open")).otherwise(whole))
+    return table(spark, sf, "part").repartition("p_partkey").select(F.col("p_brand").alias("project"), k.alias("file_id"), text.alias("text"))
+
+
 # Names in four casings, by key.
 IDENT = ("CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)"
          " WHEN 1 THEN upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)"

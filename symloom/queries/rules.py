@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symloom.operators import literals as lit, rules as rl, scopes
-from symloom.queries.derived import NODES_CTE, SWIFT_PATH, node_rows, swift_files, table
+from symloom.queries.derived import NODES_CTE, SWIFT_PATH, node_rows, second_files, swift_files, table
 from symloom.queries.registry import query
 from symloom.session import cut_lineage
 
@@ -250,3 +250,28 @@ def encrypted_literals(spark, sf):
     key = F.lit(bytearray(b"0123456789abcdef0123456789abcdef"))
     out = lit.decrypt_literals(lit.encrypt_literals(rows, key), key)
     return out.select("file_id", "plain", (~F.col("cipher").contains("plain") & (F.length("cipher") > 20)).alias("hidden"))
+
+
+_WHOLE = "p_partkey % 7 NOT IN (1, 2, 3)"
+_REASONS = ", ".join(f"{{'line_no': {n}, 'reason': '{r}'}}" for n, r in [
+    (2, "global"), (5, "entrypoint"), (9, "attribute"), (9, "ui_keylike"), (11, "identifier"), (12, "debug"), (14, "localized"), (16, "ui_keylike"),
+    (18, "short_or_blank"), (20, "interpolated"), (21, "image_literal"), (22, "resource_like"), (33, "debug"), (33, "short_or_blank"), (35, "view_container")])
+
+
+@query("literal_reasons_second", f"SELECT p_partkey AS file_id, unnest([{_REASONS}], recursive := true) FROM part WHERE {_WHOLE}")
+def literal_reasons_second(spark, sf):
+    """All twelve reasons; null, empty and unbalanced texts among the files."""
+    rows = lit.literal_table(second_files(spark, sf).select("file_id", "text"), "swift", keep=["file_id"])
+    return lit.literal_reasons(rows, ["file_id"])
+
+
+@query("kept_literals_second", f"""SELECT p_partkey AS file_id, 19 AS line_no, '"kept ' || p_type || '"' AS value FROM part WHERE {_WHOLE}""")
+def kept_literals_second(spark, sf):
+    return lit.keep_literals(lit.literal_table(second_files(spark, sf).select("file_id", "text"), "swift", keep=["file_id"])).select("file_id", "line_no", "value")
+
+
+@query("eligible_function_lines", f"""
+    SELECT p_partkey AS file_id, unnest([{{'line_no': 10, 'name': 'show' || {_K}, 'insert_before': false}}, {{'line_no': 30, 'name': 'after' || {_K}, 'insert_before': false}},
+      {{'line_no': 42, 'name': 'marked' || {_K}, 'insert_before': false}}], recursive := true) FROM part WHERE {_WHOLE}""")
+def eligible_function_lines(spark, sf):
+    return scopes.eligible_function_lines(second_files(spark, sf).select("file_id", "text")).select("file_id", "line_no", "name", "insert_before")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.text import strip_comments
 from symloom.operators import review, rewrite, tokens as tok
-from symloom.queries.derived import SWIFT, SWIFT_PATH, render, swift_files, table
+from symloom.queries.derived import SWIFT, SWIFT_2, SWIFT_PATH, render, second_files, swift_files, table
 from symloom.queries.registry import query
 
 _K = "CAST(p_partkey AS STRING)"
@@ -96,10 +96,13 @@ def declaration_sites(spark, sf):
     SELECT doc_id, json_extract_string(j, '$.instruction') AS instruction, md5(json_extract_string(j, '$.input')) AS input_digest, json_extract_string(j, '$.output') AS output FROM (
     SELECT doc_id, json_object('instruction', 'In the following Swift code, find all identifiers related to sensitive logic. Provide the names and reasoning as a JSON object.',
       'input', '**Swift Source Code:**' || chr(10) || '```swift' || chr(10) || rtrim(text, ' ') || chr(10) || '```' || chr(10) || chr(10) || '**AST Symbol Information (Target: `' || lang || '`):**' || chr(10) || '```json' || chr(10) ||
-        '{"symbolName":"' || lang || '","symbolKind":"' || source || '"}' || chr(10) || '```' || chr(10) || chr(10) || '**Target Identifier:** `' || lang || '`',
+        '{' || chr(10) || '  "symbolName": "' || lang || '",' || chr(10) || '  "symbolKind": "' || source || '",' || chr(10) || '  "typeSignature": "(' || CAST(n_chars AS STRING) || ') -> \\"' || lang || '\\"",' || chr(10) ||
+          CASE WHEN doc_id % 2 = 0 THEN '  "references": [' || chr(10) || '    "' || source || '",' || chr(10) || '    "' || lang || '"' || chr(10) || '  ],' || chr(10) ELSE '' END || '  "calls_out": []' || chr(10) || '}' || chr(10) || '```' || chr(10) || chr(10) || '**Target Identifier:** `' || lang || '`',
       'output', '{' || chr(10) || '  "is_sensitive": true|false,' || chr(10) || '  "reasoning": "<explanation>"' || chr(10) || '}') AS j FROM documents)""")
 def payload_records(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("name"), F.col("source").alias("kind"), F.col("text").alias("code"))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("name"), F.col("source").alias("kind"), F.col("text").alias("code"),
+                                                F.concat(F.lit("("), F.col("n_chars").cast("string"), F.lit(') -> "'), "lang", F.lit('"')).alias("typeSignature"),
+                                                F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang")).alias("references"), F.array().cast("array<string>").alias("calls_out"))
     p = review.payloads(rows)
     field = lambda n: F.get_json_object("payload", f"$.{n}")
     return p.select("doc_id", field("instruction").alias("instruction"), F.md5(field("input")).alias("input_digest"), field("output").alias("output"))
@@ -186,6 +189,23 @@ def remove_calls_code(spark, sf):
     return out.select("file_id", "n_removed", F.md5("text").alias("digest"))
 
 
+_QUIET_2 = render(SWIFT_2.replace('print("a")', 'print("")').replace("assert(false)", "assert(true)"))
+_ODD = "CASE p_partkey % 7 WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '} ) { func x( {' || chr(10) || '\"open'"
+
+
+@query("remove_calls_second", f"SELECT p_partkey AS file_id, CASE WHEN p_partkey % 7 IN (1, 2, 3) THEN 0 ELSE 2 END AS n_removed, md5({_ODD} ELSE {_QUIET_2} END) AS digest FROM part")
+def remove_calls_second(spark, sf):
+    """Calls in case and guard blocks are made harmless; no row is lost, whatever its text."""
+    out = rewrite.remove_calls(second_files(spark, sf).select("file_id", "text"))
+    return out.select("file_id", "n_removed", F.md5("text").alias("digest"))
+
+
+@query("strip_comments_second", f"""
+    SELECT p_partkey AS file_id, md5({_ODD} ELSE {render(SWIFT_2.replace("    /* func commented() {" + chr(10) + "    */" + chr(10), ""))} END) AS digest FROM part""")
+def strip_comments_second(spark, sf):
+    return rewrite.strip_comments_lexed(second_files(spark, sf)).select("file_id", F.md5("text").alias("digest"))
+
+
 @query("debug_calls_code", """
     SELECT p_partkey AS file_id, unnest([{'name': 'print', 'start_line': 13, 'end_line': 13}, {'name': 'debugPrint', 'start_line': 15, 'end_line': 17}], recursive := true) FROM part""")
 def debug_calls_code(spark, sf):

@@ -81,7 +81,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], spread:
 
     Rows of ``big`` are spread over ``salts`` by a hash of ``spread``; ``small``
     must have at most one row per key, so repeating it costs ``salts`` times
-    its own size, whatever the skew.
+    its own size, whatever the skew. Both sides get an exchange of their own,
+    so what is still too large after that Spark splits by the sizes it measures.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
