@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from symloom.functions import text as tx
 from symloom.queries.derived import SWIFT, render, swift_files, table
 from symloom.queries.registry import query
+from symloom.session import new_folder
 from symloom.sources import files as src
 
 _KEYWORDS = ["blog", "/fr/", ".org"]
@@ -126,3 +127,47 @@ def strip_comments_code(spark, sf):
     text = tx.strip_comments("text", "swift")
     return swift_files(spark, sf).select("file_id", (text.contains("Hidden") | text.contains("commented")).alias("left_over"),
                                          F.length(text).cast("long").alias("n_chars"))
+
+
+@query("scanned_files", """
+    SELECT 's_nationkey=' || CAST(s_nationkey AS STRING) AS folder, count(*) AS n_lines, md5(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS digest
+    FROM supplier WHERE s_nationkey <> 3 GROUP BY s_nationkey""")
+def scanned_files(spark, sf):
+    """A file per nation is written to the shared folder and scanned; one folder is skipped."""
+    folder = new_folder(spark, "scan")
+    rows = table(spark, sf, "supplier").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    rows.select("s_nationkey", F.col("s_name").alias("value")).write.partitionBy("s_nationkey").text(folder)
+    found = src.scan_files(spark, folder, (".txt",), ["s_nationkey=3"])
+    return found.select(F.substring_index("rel_path", "/", 1).alias("folder"), F.regexp_count("text", F.lit("\n")).cast("long").alias("n_lines"), F.md5("text").alias("digest"))
+
+
+@query("nested_node_files", """
+    SELECT 'N' || CAST(s_nationkey AS STRING) AS path, 'class' AS kind, 0 AS depth FROM supplier GROUP BY s_nationkey
+    UNION ALL SELECT 'N' || CAST(s_nationkey AS STRING) || '.S' || CAST(s_suppkey AS STRING), 'function', 1 FROM supplier""")
+def nested_node_files(spark, sf):
+    """A declaration file per nation, suppliers as its members, written and read back."""
+    from symloom.sources.nodes import read_nodes
+
+    folder = new_folder(spark, "nodes")
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string")).alias("A_name")
+    member = F.struct(name("S", "s_suppkey"), F.lit("function").alias("B_kind"))
+    files = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.collect_list(member).alias("members"))
+    node = F.struct(name("N", "s_nationkey"), F.lit("class").alias("B_kind"))
+    files.select("s_nationkey", node.alias("node"), F.col("members").alias("children")).write.partitionBy("s_nationkey").json(folder)
+    return read_nodes(spark, folder).select("path", "kind", "depth")
+
+
+@query("pools_and_clusters", """
+    SELECT 'property' AS kind, 'pool' AS origin, p_name AS name, CAST(NULL AS STRING) AS tokens FROM (SELECT DISTINCT p_name FROM part)
+    UNION ALL SELECT 'property', 'cluster', s_name, s_name || '|x' FROM supplier""")
+def pools_and_clusters(spark, sf):
+    """A name pool and a cluster index are written as files and read for a kind that shares those of another."""
+    from symloom.sources import lists as ls
+
+    folder = new_folder(spark, "pools")
+    table(spark, sf, "part").select(F.col("p_name").alias("value")).distinct().write.text(f"{folder}/buckets_pool_variable.txt")
+    cluster = table(spark, sf, "supplier").select(F.col("s_name").alias("rep"), F.array("s_name", F.lit("x")).alias("tokens"), F.array("s_name").alias("members"))
+    cluster.write.json(f"{folder}/cluster_index_variable.json")
+    pool = ls.read_pool(spark, folder, ["property"]).select("kind", F.lit("pool").alias("origin"), "name", F.lit(None).cast("string").alias("tokens"))
+    return pool.unionByName(ls.read_clusters(spark, folder, ["property"], lines=True).select(
+        "kind", F.lit("cluster").alias("origin"), F.col("rep").alias("name"), F.array_join("tokens", "|").alias("tokens")))

@@ -103,17 +103,20 @@ def read_pool(spark: SparkSession, directory: str, kinds: Iterable[str]) -> Data
     return out
 
 
-def read_clusters(spark: SparkSession, directory: str, kinds: Iterable[str]) -> DataFrame:
-    """Cluster index per kind; the position in the file is the cluster order."""
-    entry = T.ArrayType(T.StructType([
+def read_clusters(spark: SparkSession, directory: str, kinds: Iterable[str], lines: bool = False) -> DataFrame:
+    """Cluster index per kind, one row per entry of the index; the position in the file is the cluster order.
+
+    An index is one JSON list, or with ``lines`` one entry per line in any number of files.
+    """
+    entry = T.StructType([
         T.StructField("rep", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())),
-        T.StructField("members", T.ArrayType(T.StringType()))]))
+        T.StructField("members", T.ArrayType(T.StringType()))])
     out = None
     for kind in kinds:
         stem = "variable" if kind == "property" else kind
-        docs = spark.read.text(f"{directory}/cluster_index_{stem}.json", wholetext=True)
-        part = (docs.select(F.posexplode(F.from_json("value", entry)).alias("cluster_id", "c"))
-                .select(F.lit(kind).alias("kind"), "cluster_id", "c.*"))
+        # The reader hands on entry by entry, so row numbers follow the order of the file.
+        rows = spark.read.schema(entry).option("multiLine", not lines).json(f"{directory}/cluster_index_{stem}.json")
+        part = rows.select(F.lit(kind).alias("kind"), F.monotonically_increasing_id().alias("cluster_id"), "rep", "tokens", "members")
         out = part if out is None else out.unionByName(part)
     return out
 
