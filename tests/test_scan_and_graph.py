@@ -87,3 +87,28 @@ def test_lock_keeps_inner_matches_untouched(spark):
     assert kinds == {1: None, 2: None, 3: None, 4: "changed"}
     path = spark.createDataFrame([("A.f",), ("variable:B.A.f",)], "spec string")
     assert {r["node_id"] for r in flags.match_specs(nodes, path).collect()} == {2, 4}
+
+
+def test_dumps_and_declarations_of_any_depth(spark):
+    import json
+
+    from symloom.operators.catalog import parse_sdk
+
+    node, sdk = {"A_name": "n20", "B_kind": "class"}, {"kind": "TypeDecl", "declKind": "Class", "name": "t20", "children": []}
+    for i in reversed(range(20)):
+        node = {"A_name": f"n{i}", "B_kind": "class", "G_members": [node]}
+        sdk = {"kind": "TypeDecl", "declKind": "Class", "name": f"t{i}", "children": [sdk]}
+    docs = spark.createDataFrame([(1, json.dumps([node])), (2, None)], "doc_id int, value string")
+    rows = graph.flatten(docs).collect()
+    assert sorted(r["depth"] for r in rows) == list(range(21)) and {r["doc_id"] for r in rows} == {1}
+    dump = spark.createDataFrame([(json.dumps({"ABIRoot": {"name": "K", "children": [sdk]}}),)], "value string")
+    assert {r["type_name"] for r in parse_sdk(dump).collect()} == {f"t{i}" for i in range(21)}
+
+
+def test_names_link_within_their_project(spark):
+    nodes = spark.createDataFrame([("A", 1, "Base", "class", []), ("B", 2, "Base", "class", []), ("B", 3, "Kid", "class", ["Base"]), ("C", 4, "Kid", "class", ["Base"])],
+                                  "project string, node_id long, name string, kind string, adopted array<string>")
+    got = {r["child_id"]: r["parent_id"] for r in graph.link_parents(graph.edges(nodes), nodes).collect()}
+    assert got == {3: 2, 4: None}
+    flagged = nodes.withColumn("is_exception", (F.col("node_id") == 1).cast("int"))
+    assert {tuple(r) for r in flags.renameable(flagged).collect()} == {("B", "class", "Base"), ("B", "class", "Kid"), ("C", "class", "Kid")}

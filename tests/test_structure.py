@@ -1,6 +1,8 @@
 """Scopes, blocks and literals on edge texts."""
 
-from symloom.operators import lexical as lex, literals as lit, scopes
+import pytest
+
+from symloom.operators import lexical as lex, literals as lit, rewrite, rules, scopes
 
 TEXT = '''@objc
 @MainActor
@@ -104,3 +106,22 @@ def test_literal_reasons(spark):
         found.setdefault(r["line_no"], set()).update(r["reasons"])
     for i, want in enumerate(lines.values()):
         assert want in found[i + 2], (list(lines)[i], found[i + 2])
+
+
+@pytest.mark.parametrize("text", [None, "", "} } ) (", "{ func f( {\n\"open", "class A: B {\nfunc g() {"])
+def test_odd_texts_end_no_job(spark, text):
+    files = spark.createDataFrame([("p", 1, "A.swift", text), ("p", 2, "B.swift", "class C {\n  func h() { print(\"x\") }\n}\n")],
+                                  "project string, file_id long, rel_path string, text string")
+    assert {r["file_id"] for r in rewrite.strip_comments_lexed(files).collect()} == {1, 2}
+    assert {r["file_id"]: r["n_removed"] for r in rewrite.remove_calls(files).collect()}[2] == 1
+    for rows in (lex.declarations(files), lex.blocks(files, ["class"]), scopes.function_inventory(files), scopes.body_ranges(files),
+                 scopes.cf_sites(files), scopes.protocol_requirements(files), rules.generate_rules(files), lit.literal_table(files),
+                 scopes.eligible_function_lines(files), lex.variables(files)):
+        rows.collect()
+    assert 2 in {r["file_id"] for r in lex.declarations(files).collect()}
+
+
+def test_bound_names_are_no_variables(spark):
+    text = "if      let a = b, let c = d {\nguard\n  let e = f,\n      let g = h else { }\nwhile let i = j { }\nlet k = 1\nvar l: Int = 2"
+    files = spark.createDataFrame([(1, text)], "file_id int, text string")
+    assert {r["name"] for r in lex.variables(files).collect()} == {"k", "l"}
