@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -31,13 +32,25 @@ def rename(files: DataFrame, nodes: DataFrame, external: DataFrame, clusters: Da
     return Renamed(rewrite.pseudonymize(clean, per_name, key, profile="swift"), table, audit)
 
 
-def functions_to_wrap(files: DataFrame, rule_table: DataFrame, key: str = "file_id") -> DataFrame:
-    """Function inventory with ``excluded``, ``risk_reasons``, ``is_safe`` and ``blocked_by``."""
+def wrappable(files: DataFrame, key: str = "file_id", select: Callable[[DataFrame], DataFrame] = lambda funcs: funcs) -> DataFrame:
+    """Function inventory with ``blocked_by``; ``select`` may add columns before.
+
+    Three scans of the texts: the functions, the types by role, and what stands
+    in blocks; each is written without the texts and read from there.
+    """
     from symloom.operators import rules, scopes
 
-    ids = [key, "name", "line_no"]
     funcs = cut_lineage(scopes.function_inventory(files))
-    funcs = scopes.protocol_impl(funcs, scopes.protocol_requirements(files), ids)
-    funcs = scopes.resolve_parents(funcs, scopes.actor_types(files), scopes.global_actor_types(files), scopes.local_types(files))
-    funcs = rules.risk_reasons(rules.partition_by_rules(cut_lineage(funcs), rule_table, ids))
-    return rules.eligible(funcs, rules.file_types(files, key), key)
+    lists, facts = cut_lineage(scopes.type_lists(files)), cut_lineage(rules.block_facts(files, key))
+    asked = facts.where("role = 'requirement'").withColumnRenamed("owner", "protocol").withColumnRenamed("value", "func_key")
+    funcs = scopes.protocol_impl(funcs, asked, [key, "name", "line_no"])
+    funcs = scopes.resolve_parents(funcs, *(lists.where(F.col("role") == r) for r in ("actor", "global_actor", "local")))
+    types = facts.where("role = 'type'").select(key, "owner", F.col("value").alias("type"))
+    return rules.eligible(select(cut_lineage(funcs)), types, key)
+
+
+def functions_to_wrap(files: DataFrame, rule_table: DataFrame, key: str = "file_id") -> DataFrame:
+    """Function inventory with ``excluded``, ``risk_reasons``, ``is_safe`` and ``blocked_by``."""
+    from symloom.operators import rules
+
+    return wrappable(files, key, lambda funcs: rules.risk_reasons(rules.partition_by_rules(funcs, rule_table, [key, "name", "line_no"])))

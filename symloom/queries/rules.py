@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symloom.operators import literals as lit, rules as rl, scopes
+from symloom.plans.rename import wrappable
 from symloom.queries.derived import NODES_CTE, SWIFT_PATH, node_rows, second_files, swift_files, table
 from symloom.queries.registry import query
 from symloom.session import cut_lineage
@@ -139,10 +140,7 @@ def global_actor_types(spark, sf):
       {{'name': 'nested' || {_K}, 'blocked_by': CASE WHEN p_size % 5 = 0 THEN 'actor_isolated' END}}, {{'name': 'extra' || {_K}, 'blocked_by': 'external_protocol_extension'}},
       {{'name': 'peek' || {_K}, 'blocked_by': NULL}}, {{'name': 'poke' || {_K}, 'blocked_by': 'actor_isolated'}}, {{'name': 'free' || {_K}, 'blocked_by': NULL}}], recursive := true) FROM part""")
 def wrap_eligibility(spark, sf):
-    files = swift_files(spark, sf)
-    funcs = scopes.protocol_impl(cut_lineage(_funcs(spark, sf)), scopes.protocol_requirements(files), ["file_id", "name", "line_no"])
-    funcs = scopes.resolve_parents(funcs, scopes.actor_types(files), scopes.global_actor_types(files), scopes.local_types(files))
-    return rl.eligible(cut_lineage(funcs), rl.file_types(files, "file_id"), "file_id").select("file_id", "name", "blocked_by")
+    return wrappable(swift_files(spark, sf)).select("file_id", "name", "blocked_by")
 
 
 @query("carried_attributes", """
