@@ -87,6 +87,12 @@ def _with_descendants(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     return salted_join(below, pairs, "node_id", F.col("_below")).select(F.col("_below").alias("node_id"), "base").distinct()
 
 
+def _known_members(members: DataFrame, catalog_members: DataFrame) -> DataFrame:
+    """Members of whose name and kind the catalog has any: only these are worth offering to all bases of their owner."""
+    key = F.concat_ws("\u0001", "name", "kind").alias("_nk")
+    return salted_join(members.select("*", key), catalog_members.select(key).distinct(), "_nk", F.col("member_id"), "left_semi").drop("_nk")
+
+
 def match_external(cands: DataFrame, members: DataFrame, tree: DataFrame, ext_nodes: DataFrame,
                    ext_members: DataFrame) -> DataFrame:
     """(node_id, reason): extensions of external types, and members that an
@@ -99,7 +105,8 @@ def match_external(cands: DataFrame, members: DataFrame, tree: DataFrame, ext_no
                    .select("base", "base_kind", ext_members["name"], ext_members["kind"]))
     keyed = requirement.groupBy(F.concat_ws("\u0001", "base", "name", "kind").alias("_key")).agg(
         F.bool_or(F.col("base_kind") == "protocol").alias("_protocol"), F.bool_or(F.col("base_kind") == "class").alias("_class"))
-    own_members = members.select(F.col("node_id").alias("member_id"), F.col("parent_id").alias("node_id"), "name", "kind", "attributes")
+    own_members = _known_members(members.select(F.col("node_id").alias("member_id"), F.col("parent_id").alias("node_id"), "name", "kind", "attributes"),
+                                 requirement)
     offered = (salted_join(own_members, owners, "node_id", F.col("member_id"))
                .withColumn("_key", F.concat_ws("\u0001", "base", "name", "kind")))
     hit = salted_join(offered, keyed, "_key", F.col("member_id"))
@@ -131,7 +138,9 @@ def match_sdk(cands: DataFrame, members: DataFrame, tree: DataFrame, sdk: DataFr
     kind = F.when(mk == "var", "variable").when(mk == "enumelement", "case").when(mk == "func", "function").otherwise(mk)
     keyed = sdk.where("member is not null").select(F.concat_ws("\u0001", "type_name", "member", kind).alias("_key")).distinct()
     owners = _with_descendants(pairs.select("node_id", "base"), tree)
-    offered = (salted_join(child.where(~F.col("kind").isin("struct", "protocol", "class", "enum")), owners, "node_id", F.col("member_id"))
+    values = child.where(~F.col("kind").isin("struct", "protocol", "class", "enum"))
+    known = _known_members(values, sdk.where("member is not null").select(F.col("member").alias("name"), kind.alias("kind")))
+    offered = (salted_join(known, owners, "node_id", F.col("member_id"))
                .withColumn("_key", F.concat_ws("\u0001", "base", "name", "kind")))
     same = (salted_join(offered, keyed, "_key", F.col("member_id"), "left_semi")
             .select(F.col("member_id").alias("node_id"), F.lit("sdk_member").alias("reason")))
