@@ -163,13 +163,22 @@ def remove_statements(files: DataFrame, name: str, text: str = "text") -> DataFr
             .withColumn(text, F.regexp_replace(text, pattern, "")))
 
 
-def diff_files(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, n_changed, before, after) for files whose text differs; lines are compared by number."""
-    pair = (before.select(key, F.col(text).alias("before")).join(after.select(key, F.col(text).alias("after")), key)
-            .where("before <> after"))
+def diff_rows(files: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, n_changed, before, after) of the rows whose two texts differ; lines are compared by number. Nothing is moved."""
+    pair = files.select(key, F.col(before).alias("before"), F.col(after).alias("after")).where("before <> after")
     zipped = F.arrays_zip(F.split("before", "\n").alias("b"), F.split("after", "\n").alias("a"))
-    changed = F.size(F.filter(zipped, lambda z: ~z["b"].eqNullSafe(z["a"])))
-    return pair.select(key, changed.alias("n_changed"), "before", "after")
+    return pair.select(key, F.size(F.filter(zipped, lambda z: ~z["b"].eqNullSafe(z["a"]))).alias("n_changed"), "before", "after")
+
+
+def diff_files(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The same for texts in two tables: digests are joined first, then the texts of what has changed."""
+    def digests(side: DataFrame, name: str) -> DataFrame:
+        return side.select(key, F.sha2(text, 256).alias(name))
+
+    changed = digests(before, "_b").join(digests(after, "_a"), key).where("_b <> _a").select(key)
+    pair = (before.select(key, F.col(text).alias("before")).join(changed, key)
+            .join(after.select(key, F.col(text).alias("after")), key))
+    return diff_rows(pair, key, "before", "after")
 
 
 def unified_diff(diffs: DataFrame, name: str) -> DataFrame:

@@ -37,5 +37,6 @@ def remove_debug_calls(files: DataFrame, id_column: str = "file_id", path: str =
     """Files without debug calls, the calls found, their report, and what changed."""
     own = rewrite.user_defined(files)
     calls = rewrite.debug_calls(files, own, keep=[id_column, path])
-    cleaned = rewrite.remove_calls(files, DEBUG_NAMES, own=own)
-    return Quiet(cleaned, calls, rewrite.debug_report(calls, path), rewrite.diff_files(files, cleaned, id_column))
+    cleaned = rewrite.remove_calls(files.withColumn("_before", F.col("text")), DEBUG_NAMES, own=own)
+    changes = rewrite.diff_rows(cleaned, id_column, "_before", "text")
+    return Quiet(cleaned.drop("_before"), calls, rewrite.debug_report(calls, path), changes)

@@ -161,14 +161,23 @@ def pseudonymize_code(spark, sf):
     SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'e'))) AS n_changed FROM documents WHERE doc_id % 3 = 0 AND contains(text, 'e')""")
 def changed_files(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    after = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.col("text")))
+    both = docs.withColumn("after", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.col("text")))
+    return rewrite.diff_rows(both, "doc_id", "text", "after").select("doc_id", F.col("n_changed").cast("long").alias("n_changed"))
+
+
+@query("changed_tables", """
+    SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'e'))) AS n_changed FROM documents WHERE doc_id % 5 = 0 AND contains(text, 'e')""")
+def changed_tables(spark, sf):
+    """Both texts come from tables of their own."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    after = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.col("text")))
     return rewrite.diff_files(docs, after, "doc_id").select("doc_id", F.col("n_changed").cast("long").alias("n_changed"))
 
 
 @query("unified_diffs")
 def unified_diffs(spark, sf):
-    files = swift_files(spark, sf).select("file_id", "text")
-    diffs = rewrite.diff_files(files, files.withColumn("text", strip_comments("text")), "file_id")
+    files = swift_files(spark, sf).select("file_id", "text").withColumn("after", strip_comments("text"))
+    diffs = rewrite.diff_rows(files, "file_id", "text", "after")
     return rewrite.unified_diff(diffs, "file_id").select("file_id", "n_changed", "diff")
 
 
