@@ -1,19 +1,18 @@
-"""Include/exclude policies against the names of a corpus.
-
-Policies come from files limited to 5 MiB (see ``sources.lists``), so their
-patterns are plain Python lists here; corpus names stay distributed.
-"""
+"""Include/exclude policies against the names of a corpus. Patterns are rows, in any number, as names are."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symloom.session import salted_join
 
-GROUP = 200
+GRAM = 3
 
 
 def is_wildcard(pattern: str) -> bool:
@@ -43,37 +42,52 @@ def glob_regex(pattern: str) -> str:
 
 
 def pattern_table(spark: SparkSession, patterns: Iterable[str]) -> DataFrame:
-    rows = [(p,) for p in dict.fromkeys(patterns)]
-    return spark.createDataFrame(rows, "pattern string")
+    """(pattern) rows, trimmed, blanks dropped, each once."""
+    return spark.createDataFrame([(p,) for p in dict.fromkeys(p.strip() for p in patterns if p and p.strip())], "pattern string")
+
+
+@F.pandas_udf(T.StructType([T.StructField("regex", T.StringType()), T.StructField("gram", T.StringType())]))
+def _compiled(patterns: pd.Series) -> pd.DataFrame:
+    """The regex of a wildcard, and up to ``GRAM`` characters in a row that every match holds."""
+    def gram(pattern: str) -> str:
+        return max(re.split(r"[*?\[]+", re.sub(r"(?s)\[.[^\]]*\]", "*", pattern)), key=len)[:GRAM]
+
+    return pd.DataFrame([(f"(?s)^{glob_regex(p)}$", gram(p)) for p in patterns], columns=["regex", "gram"])
+
+
+def _cut(name: Column, n: int):
+    return lambda i: F.substring(name, i, F.lit(n))
+
+
+def _grams(name: Column) -> Column:
+    """All runs of up to ``GRAM`` characters of a name, and the empty one."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), _cut(name, n)) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *runs))
 
 
-def matching_patterns(column: str, wildcards: list[str]) -> Column:
-    """Array of the wildcards a value matches.
+def match_wildcards(values: DataFrame, wildcards: DataFrame) -> DataFrame:
+    """(value, pattern) for distinct ``value`` rows and ``pattern`` rows that match them.
 
-    One combined regex per ``GROUP`` patterns turns most values away; only then
-    is each pattern of the group tried.
+    A wildcard is joined by the first characters of its longest literal run to
+    the values that hold them, and only these pairs are tested; a pattern without any
+    literal character meets all values, as it has to.
     """
-    found = F.array().cast("array<string>")
-    value = F.col(column)
-    for at in range(0, len(wildcards), GROUP):
-        group = wildcards[at:at + GROUP]
-        any_of = "(?s)^(?:" + "|".join(glob_regex(p) for p in group) + ")$"
-        each = F.array_compact(F.array(*[F.when(value.rlike(f"(?s)^{glob_regex(p)}$"), F.lit(p)) for p in group]))
-        found = F.concat(found, F.when(value.rlike(any_of), each).otherwise(F.array().cast("array<string>")))
-    return found
+    parts = wildcards.select("pattern", _compiled("pattern").alias("c")).select("pattern", "c.regex", F.col("c.gram").alias("gram"))
+    pairs = values.select("value", F.explode(_grams(F.col("value"))).alias("gram")).join(parts, "gram")
+    return pairs.where(F.regexp_like("value", F.col("regex"))).select("value", "pattern")
 
 
-def glob_match(names: DataFrame, patterns: Iterable[str], column: str = "name") -> DataFrame:
-    """(name, pattern) for every distinct name and every pattern it matches.
+def glob_match(names: DataFrame, patterns: Iterable[str] | DataFrame, column: str = "name") -> DataFrame:
+    """(name, pattern) for every distinct name and every pattern it matches; ``patterns`` may be a table of any size.
 
-    Literal patterns are an equi-join, wildcards are tested in the name's row;
-    the names are read once for both.
+    Literal patterns are an equi-join, wildcards go by their literal parts.
     """
-    literals, wildcards = split_globs(patterns)
-    distinct = names.select(F.col(column).alias("name")).distinct()
-    table = pattern_table(names.sparkSession, literals).withColumn("name", F.col("pattern"))
-    found = F.array_compact(F.array_append(matching_patterns("name", wildcards), F.col("pattern")))
-    return distinct.join(table, "name", "left").select("name", F.explode(found).alias("pattern"))
+    table = patterns if isinstance(patterns, DataFrame) else pattern_table(names.sparkSession, patterns)
+    wild = F.col("pattern").rlike(r"[*?\[]")
+    distinct = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
+    literal = distinct.join(table.where(~wild).select(F.col("pattern").alias("name")), "name", "left_semi").select("name", F.col("name").alias("pattern"))
+    matched = match_wildcards(distinct.select(F.col("name").alias("value")), table.where(wild))
+    return literal.unionByName(matched.select(F.col("value").alias("name"), "pattern"))
 
 
 def policy_presence(names: DataFrame, policy: dict[str, list[str]]) -> DataFrame:
