@@ -7,7 +7,10 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,21 +40,21 @@ def cut_pattern(pieces: Iterable[str]) -> re.Pattern:
 
 @dataclass
 class Vocabulary:
-    """Pieces with id and score, ids and score of the 256 byte pieces, the tree of pieces, and where texts fall apart."""
+    """Pieces with id and score, ids and score of the 256 byte pieces, where texts fall apart, and a finder of all pieces in a text."""
 
     pieces: dict[str, tuple[int, int]]
     byte_ids: list[int]
     byte_score: int
-    tree: dict[str, list] = field(default_factory=dict)
     cuts: re.Pattern = _WORD
+    finder: ahocorasick.Automaton | None = None
+    single: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        # By character: [score, ids, tree of what may follow]; score 0 where no piece ends.
+        self.finder = ahocorasick.Automaton()
         for piece, (i, score) in self.pieces.items():
-            tree = self.tree
-            for ch in piece[:-1]:
-                tree = tree.setdefault(ch, [0, (), {}])[2]
-            tree.setdefault(piece[-1], [0, (), {}])[:2] = score, (i,)
+            self.finder.add_word(piece, (len(piece), score, (i,)))
+        self.finder.make_automaton()
+        self.single = frozenset(p for p in self.pieces if len(p) == 1)
         self.cuts = cut_pattern(self.pieces)
 
 
@@ -77,6 +80,7 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, byte_ids, -round(UNIT * math.log(2 + rank)))
 
 
+_SCORE, _IDS, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
 Path = tuple[int, tuple[int, ...]]
 Edge = tuple[int, int, tuple[int, ...]]
 
@@ -90,16 +94,11 @@ def byte_edges(character: str, vocab: Vocabulary, start: int = 0) -> list[Edge]:
 def lattice(segment: str, vocab: Vocabulary) -> list[list[Edge]]:
     """Edges by end: (start, score, ids). A character that is not a piece by itself is also its bytes."""
     edges: list[list[Edge]] = [[] for _ in range(len(segment) + 1)]
-    for start in range(len(segment)):
-        tree = vocab.tree
-        for end in range(start + 1, len(segment) + 1):
-            if segment[end - 1] not in tree:
-                break
-            score, ids, tree = tree[segment[end - 1]]
-            if score:
-                edges[end].append((start, score, ids))
-        if segment[start] not in vocab.pieces:
-            edges[start + 1] += byte_edges(segment[start], vocab, start)
+    for end, (size, score, ids) in vocab.finder.iter(segment):
+        edges[end + 1].append((end + 1 - size, score, ids))
+    for start, character in enumerate(segment):
+        if character not in vocab.single:
+            edges[start + 1] += byte_edges(character, vocab, start)
     return edges
 
 
@@ -135,37 +134,23 @@ def n_best(segment: str, vocab: Vocabulary, n: int) -> list[Path]:
 
 def best_and_gap(segment: str, vocab: Vocabulary) -> tuple[int, tuple[int, ...], int]:
     """Score and ids of the best segmentation, and how much worse the second best is: Viterbi with the two best scores per place."""
-    if len(segment) == 1 and segment in vocab.pieces:
-        i, score = vocab.pieces[segment]
-        return score, (i,), NEVER
     size = len(segment)
     best, second, back = [-NEVER] * (size + 1), [-NEVER] * (size + 1), [None] * (size + 1)
     best[0] = 0
-    for start in range(size):
-        here, tree, end = best[start], vocab.tree, start
-        next_here = second[start]
-        for ch in segment[start:]:
-            found = tree.get(ch)
-            if found is None:
-                break
-            gain, ids, tree = found
-            end += 1
-            if gain:
-                score = here + gain
-                if score > best[end]:
-                    other = next_here + gain
-                    second[end] = other if other > best[end] else best[end]
-                    best[end], back[end] = score, (start, ids)
-                elif score > second[end]:
-                    second[end] = score
-        if segment[start] not in vocab.pieces:
-            ((_, gain, ids),) = byte_edges(segment[start], vocab)
-            score = here + gain
-            if score > best[start + 1]:
-                second[start + 1] = max(best[start + 1], next_here + gain)
-                best[start + 1], back[start + 1] = score, (start, ids)
-            else:
-                second[start + 1] = max(second[start + 1], score)
+    if vocab.single.issuperset(segment):
+        found = vocab.finder.iter(segment)  # by end, so a place is settled before an edge leaves it
+    else:
+        found = ((end - 1, (end - start, gain, ids)) for end, into in enumerate(lattice(segment, vocab)) for start, gain, ids in into)
+    for end, (length, gain, ids) in found:
+        end += 1
+        start = end - length
+        score = best[start] + gain
+        if score > best[end]:
+            other = second[start] + gain
+            second[end] = other if other > best[end] else best[end]
+            best[end], back[end] = score, (start, ids)
+        elif score > second[end]:
+            second[end] = score
     ids, place = (), size
     while place:
         place, own = back[place]
@@ -208,17 +193,18 @@ class Encoder:
         if not text:
             return [], [0], [[]]
         words = self.vocab.cuts.findall(BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK))
-        known, ids, total, gaps = self.known, [], 0, []
-        for word in words:
-            score, own, gap = known.get(word) or self.word(word)
-            ids.extend(own)
-            total += score
-            gaps.append(gap)
+        found = list(map(self.known.get, words))
+        if None in found:
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = self.known.get(words[i]) or self.word(words[i])
+        total, ids, gaps = sum(map(_SCORE, found)), list(chain.from_iterable(map(_IDS, found))), list(map(_GAP, found))
         kept: list[tuple[int, list[tuple[int, int]]]] = [(0, [])]
-        for i in heapq.nsmallest(self.best - 1, range(len(words)), key=gaps.__getitem__):
+        for _ in range(min(self.best - 1, len(words))):
+            i = gaps.index(min(gaps))
+            gaps[i] = NEVER + 1
             paths = self.choices(words[i])
             sums = [(loss + paths[0][0] - s, [*path, (i, c)] if c else path) for c, (s, _) in enumerate(paths) for loss, path in kept]
-            kept = heapq.nsmallest(self.best, sums, key=lambda x: x[0])
+            kept = heapq.nsmallest(self.best, sums, key=_SCORE)
         return ids, [total - loss for loss, _ in kept], [path for _, path in kept]
 
 
