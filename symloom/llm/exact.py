@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import ascii_lower, fresh, written
+from symloom.llm.common import ascii_lower, checked_broadcast, fresh, written
 
 TRACKED = 4096
 CANDIDATES = 512
@@ -67,19 +67,22 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, whole.
 
     Only dropped rows are joined back, by id and digest: far fewer than those
-    that stay. Rows that repeat both cannot be told apart by such a join, so
-    where there are any, one row of each is taken.
+    that stay. They are sent out while they are few, else both sides are
+    shuffled once. Rows that repeat id and digest cannot be told apart by such
+    a join, so where there are any, one row of each is taken.
     """
     judged = written(exact_dedup(docs), "exact-judged")
     own, key, sha, stays = (fresh(docs, n) for n in ("_own", "_id", "_sha", "_stays"))
-    rows = docs.withColumn(own, digest(F.col("text")))
-    same = [F.col("doc_id").cast("long").eqNullSafe(F.col(key)), F.col(own) == F.col(sha)]
     pairs = (judged.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias(stays), F.count("*").alias("n"))
              .where(f"NOT {stays} OR n > 1").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), stays))
     pairs = written(pairs, "exact-drops")
-    clear = rows.join(pairs, same, "left_anti")
-    twice = rows.join(pairs.where(stays), same, "left_semi").dropDuplicates(["doc_id", own])
-    return clear.unionByName(twice).select(*docs.columns)
+    rows = docs.withColumn(own, digest(F.col("text")))
+    same = [F.col("doc_id").cast("long").eqNullSafe(F.col(key)), F.col(own) == F.col(sha)]
+    joined = rows.join(checked_broadcast(pairs, 128), same, "left")
+    out = joined.where(F.col(stays).isNull())
+    if not pairs.where(stays).isEmpty():
+        out = out.unionByName(joined.where(stays).dropDuplicates(["doc_id", own]))
+    return out.select(*docs.columns)
 
 
 ORACLE = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import fresh, word_count, written
+from symloom.llm.common import checked_broadcast, fresh, word_count, written
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -140,12 +140,13 @@ def repeated_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, whole, each as often as the mix takes it.
 
     Rows that repeat an id share its repeats: each is taken as often as the
-    id's rows are on average, rounded up.
+    id's rows are on average, rounded up. The repeats, two numbers per
+    document, are sent out while they are few, else both sides are shuffled once.
     """
     mixed = mix(docs).groupBy("doc_id").agg(F.ceil(F.sum("repeats") / F.count("*")).cast("int").alias("repeats"))
     key, times, turn = fresh(docs, "_id"), fresh(docs, "_times"), fresh(docs, "_turn")
     plan = written(mixed.where("repeats > 0").select(F.col("doc_id").alias(key), F.col("repeats").alias(times)), "mix-repeats")
-    rows = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    rows = docs.join(checked_broadcast(plan, 32), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
     return rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 

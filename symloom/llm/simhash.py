@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import arrow_batches, fresh, written
+from symloom.llm.common import arrow_batches, checked_broadcast, fresh, written
 from symloom.llm.components import components
 
 SHINGLE = 3
@@ -182,14 +182,16 @@ def simhash_components(docs: DataFrame, most: int = 2) -> DataFrame:
 def component_heads(docs: DataFrame, most: int = 2) -> DataFrame:
     """The rows of ``docs``, whole, that head their component: one per component, that with the smallest id.
 
-    Ids of the others, fewer than the documents, are joined back. Where an id
-    repeats, one of its rows is taken; rows without id stay if nothing is near them.
+    Ids of the others, fewer than the documents, are joined back: sent out while
+    they are few, else both sides are shuffled once. Where an id repeats, one of
+    its rows is taken; rows without id stay if nothing is near them.
     """
     found = written(simhash_components(docs, most), "simhash-found")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("heads"))
     key, head = fresh(docs, "_id"), fresh(docs, "_heads")
     marked = written(ids.where("NOT heads OR n > 1").select(F.col("doc_id").alias(key), F.col("heads").alias(head)), "simhash-drops")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key))
-    clear = docs.join(marked, same, "left_anti")
-    twice = docs.join(marked.where(head), same, "left_semi").dropDuplicates(["doc_id"])
-    return clear.unionByName(twice)
+    joined = docs.join(checked_broadcast(marked, 32), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    out = joined.where(F.col(head).isNull())
+    if not marked.where(head).isEmpty():
+        out = out.unionByName(joined.where(head).dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
