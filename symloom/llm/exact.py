@@ -78,7 +78,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     pairs = written(pairs, "exact-drops")
     rows = docs.withColumn(own, digest(F.col("text")))
     same = [F.col("doc_id").cast("long").eqNullSafe(F.col(key)), F.col(own) == F.col(sha)]
-    joined = rows.join(checked_broadcast(pairs, 128), same, "left")
+    joined = rows.join(checked_broadcast(pairs, 192), same, "left")
     out = joined.where(F.col(stays).isNull())
     if not pairs.where(stays).isEmpty():
         out = out.unionByName(joined.where(stays).dropDuplicates(["doc_id", own]))

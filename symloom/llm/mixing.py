@@ -146,7 +146,7 @@ def repeated_rows(docs: DataFrame) -> DataFrame:
     mixed = mix(docs).groupBy("doc_id").agg(F.ceil(F.sum("repeats") / F.count("*")).cast("int").alias("repeats"))
     key, times, turn = fresh(docs, "_id"), fresh(docs, "_times"), fresh(docs, "_turn")
     plan = written(mixed.where("repeats > 0").select(F.col("doc_id").alias(key), F.col("repeats").alias(times)), "mix-repeats")
-    rows = docs.join(checked_broadcast(plan, 32), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    rows = docs.join(checked_broadcast(plan, 96), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
     return rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 

@@ -190,7 +190,7 @@ def component_heads(docs: DataFrame, most: int = 2) -> DataFrame:
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("heads"))
     key, head = fresh(docs, "_id"), fresh(docs, "_heads")
     marked = written(ids.where("NOT heads OR n > 1").select(F.col("doc_id").alias(key), F.col("heads").alias(head)), "simhash-drops")
-    joined = docs.join(checked_broadcast(marked, 32), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    joined = docs.join(checked_broadcast(marked, 96), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
     out = joined.where(F.col(head).isNull())
     if not marked.where(head).isEmpty():
         out = out.unionByName(joined.where(head).dropDuplicates(["doc_id"]))
