@@ -208,10 +208,19 @@ class Encoder:
         return ids, [total - loss for loss, _ in kept], [path for _, path in kept]
 
 
-def decode(ids: list[int], names: list[str], byte_of: dict[int, int]) -> str:
-    """The text of piece ids: blank marks are blanks, byte pieces their bytes, the first blank is dropped."""
-    raw = b"".join(bytes((byte_of[i],)) if i in byte_of else names[i].replace(BLANK, " ").encode() for i in ids)
-    return raw.decode("utf-8", "surrogatepass")[1:] if raw[:1] == b" " else raw.decode("utf-8", "surrogatepass")
+def piece_bytes(vocab: Vocabulary) -> list[bytes]:
+    """What each piece id stands for: blank marks are blanks, byte pieces their bytes."""
+    out = [b""] * (1 + max([i for i, _ in vocab.pieces.values()] + vocab.byte_ids))
+    for piece, (i, _) in vocab.pieces.items():
+        out[i] = piece.replace(BLANK, " ").encode()
+    for byte, i in enumerate(vocab.byte_ids):
+        out[i] = bytes((byte,))
+    return out
+
+
+def decode(ids: list[int], of_id: list[bytes]) -> str:
+    """The text of piece ids, without the blank that encoding puts in front."""
+    return b"".join(map(of_id.__getitem__, ids)).decode("utf-8", "surrogatepass").removeprefix(" ")
 
 
 def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, best: int = BEST) -> DataFrame:
@@ -232,10 +241,7 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, best: int
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(*shared.value)
         encoder = Encoder(own, best)
-        names = [""] * (1 + max([i for i, _ in own.pieces.values()] + own.byte_ids))
-        for piece, (i, _) in own.pieces.items():
-            names[i] = piece
-        byte_of = {i: b for b, i in enumerate(own.byte_ids)}
+        of_id = piece_bytes(own)
         for batch in batches:
             ids, scores, ways, same = [], [], [], []
             for value in batch.column(1):
@@ -245,7 +251,7 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, best: int
                 else:
                     out, sums, paths = encoder.encode(text)
                     row = (np.array(out, np.int32), [x / UNIT for x in sums], [[{"word": s, "choice": c} for s, c in p] for p in paths],
-                           decode(out, names, byte_of) == text)
+                           decode(out, of_id) == text)
                 for column, x in zip((ids, scores, ways, same), row):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
