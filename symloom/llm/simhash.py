@@ -153,6 +153,19 @@ def near_links(fps: DataFrame, most: int = 2) -> DataFrame:
     return pairs.unionByName(linked)
 
 
+def named(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """doc_id, fp, component_id and component_size for (doc_id, fp), given links (a, b) between values of ``fp``."""
+    roots = written(components(links, name), f"{name}-roots")
+    # Per fingerprint first: a fingerprint may stand for any share of the rows.
+    per = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), f"{name}-per")
+    rooted = per.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
+    rooted = written(rooted, f"{name}-rooted")
+    names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
+                    .select(F.col("root").alias("_root"), "component_id", "component_size"), f"{name}-names")
+    found = written(rooted.join(names, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id", "component_size"), f"{name}-named")
+    return rows.join(found, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id", "component_size")
+
+
 def simhash_components(docs: DataFrame, most: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and component_size per document.
 
@@ -166,27 +179,23 @@ def simhash_components(docs: DataFrame, most: int = 2) -> DataFrame:
     Columns besides doc_id and text are not looked at.
     """
     rows = written(fingerprints(docs), "simhash-docs")
-    links = near_links(rows, most)
-    roots = written(components(links, "simhash"), "simhash-roots")
-    # Per fingerprint first: a fingerprint may stand for any share of the rows.
-    per = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-per")
-    rooted = per.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
-    rooted = written(rooted, "simhash-rooted")
-    names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-                    .select(F.col("root").alias("_root"), "component_id", "component_size"), "simhash-names")
-    named = written(rooted.join(names, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id", "component_size"), "simhash-named")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select(
+    return named(rows, near_links(rows, most), "simhash").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def component_heads(docs: DataFrame, most: int = 2) -> DataFrame:
-    """The rows of ``docs``, whole, that head their component: one per component, that with the smallest id.
+    """The rows of ``docs``, whole, that head their component (``heads``)."""
+    return heads(docs, simhash_components(docs, most))
+
+
+def heads(docs: DataFrame, components_of: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, that head their component by (doc_id, component_id): one per component, that with the smallest id.
 
     Ids of the others, fewer than the documents, are joined back: sent out while
     they are few, else both sides are shuffled once. Where an id repeats, one of
     its rows is taken; rows without id stay if nothing is near them.
     """
-    found = written(simhash_components(docs, most), "simhash-found")
+    found = written(components_of, "simhash-found")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("heads"))
     key, head = fresh(docs, "_id"), fresh(docs, "_heads")
     marked = written(ids.where("NOT heads OR n > 1").select(F.col("doc_id").alias(key), F.col("heads").alias(head)), "simhash-drops")
