@@ -71,8 +71,13 @@ class Models:
     background: np.ndarray
 
     def log_probabilities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both models, the background's from what is outside the target, scaled to the target's mass: the prior then weighs the same in both."""
+        outside = self.background.astype(np.float64) - self.target
+        mass = self.target.sum(dtype=np.float64)
+        # Without a target, or with nothing outside it, there is nothing to match.
+        scaled = outside * (mass / outside.sum()) if mass and outside.any() else self.background
         out = []
-        for values in (self.target, self.background):
+        for values in (self.target, scaled):
             counts = np.zeros(SPACE, np.float32)
             counts[self.codes] = values
             out.append(smoothed(counts))
@@ -101,7 +106,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, target_ids: DataFrame) -> Models:
     """Count every byte of every document of (doc_id, text); ``target_ids`` (doc_id) names the target's documents.
 
-    The background is all documents. Each task sums its documents in a table of
+    ``background`` counts all documents; the target's part is taken off when
+    probabilities are made. Each task sums its documents in a table of
     2^24 counters and sends what is not zero; the driver receives the summed
     table, at most 2^24 rows whatever the corpus, since both models share the
     64-symbol vocabulary and its order of four.
@@ -115,7 +121,7 @@ def train(docs: DataFrame, target_ids: DataFrame) -> Models:
     sums = (rows.mapInArrow(_counted, "code int, is_target boolean, n long")
             .groupBy("code").agg(F.sum(F.when(F.col("is_target"), F.col("n")).otherwise(0)).alias("target"), F.sum("n").alias("background")))
     table = written(sums, "lm-counts").toArrow()
-    return Models(table["code"].to_numpy(), table["target"].to_numpy().astype(np.float32), table["background"].to_numpy().astype(np.float32))
+    return Models(table["code"].to_numpy(), table["target"].to_numpy(), table["background"].to_numpy())
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
