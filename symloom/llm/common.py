@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,19 @@ def arrow_batches(spark: SparkSession, records: int = 4000, megabytes: int = 8)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+@contextlib.contextmanager
+def arrow_limits(spark: SparkSession, records: int, megabytes: int) -> Iterator[None]:
+    """Bound the Arrow batches of what is written inside; the session's own bounds hold again afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    arrow_batches(spark, records, megabytes)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
 def checked_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit the limit, else as it is for a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import exact, langid, lm_score, mixing, pieces, pii, quality, sharding, simhash, suffixes
+from symloom.llm import (
+    exact, langid, lm_score, mixing, negatives, pieces, pii, quality, sharding, simhash, spelling, suffixes, warc,
+)
 from symloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +55,20 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.language_id(documents(spark, sf))
 
 
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived_pages(spark.read.parquet(f"{sf}/pages.parquet")).drop("target_uri")
+
+
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding, op2_pseudonyms, op3_simhash, op4_host_rules, op5_lm_score, op6_repeated_passages, op7_mixing, op8_pieces, op9_exact_dedup, op10_language_id)}
-ORACLES: dict[str, str] = {"op4_host_rules": quality.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact.ORACLE}
+    op1_sharding, op2_pseudonyms, op3_simhash, op4_host_rules, op5_lm_score, op6_repeated_passages, op7_mixing, op8_pieces, op9_exact_dedup, op10_language_id,
+    op11_warc, op12_spelling, op13_hard_negatives)}
+ORACLES: dict[str, str] = {"op4_host_rules": quality.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact.ORACLE,
+                           "op11_warc": warc.ORACLE, "op13_hard_negatives": negatives.ORACLE}
