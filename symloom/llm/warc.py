@@ -27,6 +27,7 @@ from symloom.session import new_folder
 
 LEAST = 1000  # bytes from which equal payloads are stored once
 ARCHIVE = 32 << 20  # bytes of an archive; a larger record gets one of its own
+PIECE = 1 << 14  # bytes of an archive that are unpacked at once
 DATE = "2020-01-01T00:00:00Z"
 # Fixed values of the WARC format, version 1.1.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -215,14 +216,17 @@ def read_record(data: bytes, at: int) -> tuple[int, Record]:
 
 def _read_member(data: bytes, at: int) -> tuple[int, bytes]:
     """Content of the gzip member at ``at`` and where it ends; its checksum and length are checked."""
-    member = zlib.decompressobj(31)
+    # What lies behind the end is copied by the library, so the archive is fed in pieces.
+    member, parts, rest = zlib.decompressobj(31), [], memoryview(data)
     try:
-        content = member.decompress(memoryview(data)[at:]) + member.flush()
+        while not member.eof and at < len(data):
+            parts.append(member.decompress(rest[at:at + PIECE]))
+            at += PIECE
     except zlib.error:
         raise Damaged("member") from None
     if not member.eof:
         raise Damaged("truncated member")
-    return len(data) - len(member.unused_data), content
+    return min(at, len(data)) - len(member.unused_data), b"".join(parts)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, Record | None]]:
