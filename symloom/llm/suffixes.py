@@ -29,6 +29,7 @@ GRAM = 32
 REACH = LENGTH - GRAM  # bytes of context on each side of an anchor
 WIDTH = 2 * REACH + GRAM
 CHUNK = 1 << 19  # bytes that are hashed together
+PLACE_BITS = 31  # room for places in a chunk: no Spark value is longer
 COLLECTION = 40_000  # strings sorted together
 SAMPLE = 20_000  # documents looked at for frequent anchors
 FREQUENT = 0.01  # share of the sampled documents that makes an anchor frequent
@@ -73,8 +74,8 @@ class Chunk:
         self.raw = np.frombuffer(gap + b"".join(t + gap for t in texts) + bytes(WIDTH), np.uint8)
         self.words = _words(self.raw)
         grams = _mixed(self.words, None, GRAM_WORDS, MIXERS[1])
-        # Upper bits decide, then the place, so the leftmost of equal grams is taken wherever the window stands.
-        bits = np.uint64(max(1, int(len(grams)).bit_length()))
+        # Upper bits decide, the same ones in every chunk, then the place, so the leftmost of equal ones is taken wherever the window stands.
+        bits = np.uint64(PLACE_BITS)
         least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
         size, span = REACH + 1, 1
         while span * 2 <= size:
@@ -137,6 +138,8 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
 
 def _reduced(a, b, doc_id, row_no, place, hi, kind: int) -> Iterator[pa.RecordBatch]:
     """Of rows that agree in (a, b), here in one task, the first goes on; the others are repeats already."""
+    if not len(a):
+        return
     order = np.lexsort((place, row_no, doc_id, b, a))
     columns = [x[order] for x in (a, b, doc_id, row_no, place, hi)]
     a, b = columns[:2]

@@ -437,3 +437,22 @@ def test_prediction_ignores_other_columns(spark, given):
     changed = given.select("doc_id", "text", F.lit("zz").alias("lang"), F.lit("q").alias("source"), (F.col("doc_id") * 0).alias("n_chars"))
     a, b = (sorted(map(tuple, langid.identify(d, model).collect())) for d in (given, changed))
     assert a == b
+
+
+def test_repeats_where_every_anchor_is_frequent(spark):
+    # Default settings: each batch holds frequent anchors only.
+    rng = np.random.default_rng(6)
+    page = "".join(rng.choice(list("abcdefgh "), 300))
+    docs = [(i, page) for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(table).collect()}
+    assert got == brute.without_repeats(docs)
+
+
+def test_anchors_do_not_depend_on_the_chunk():
+    rng = np.random.default_rng(7)
+    text = bytes(rng.integers(0, 256, 4000, dtype=np.uint8))
+    alone = suffixes.Chunk([text])
+    among = suffixes.Chunk([bytes(rng.integers(0, 256, 300_000, dtype=np.uint8)), text])
+    mine = among.text == 1
+    assert np.array_equal(alone.place, among.place[mine]) and np.array_equal(alone.keys, among.keys[mine])
