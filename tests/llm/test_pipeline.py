@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from symloom.llm import langid, mixing, pieces
 from tests.conftest import SF
-from tests.llm import brute
+from tests.llm import brute, test_shingles
 
 
 def test_stages_and_result(spark, tmp_path):
@@ -19,7 +19,7 @@ def test_stages_and_result(spark, tmp_path):
     left = {d: r.text for d, r in rows.items() if r.text and langid.has_letters(r.text.encode()) and not model.predict(r.text.encode())[2]}
     assert set(rows) - set(left) == {10_001, 10_002, 10_003}
     left = {d: left[d] for d, g in brute.exact_groups(list(left.items())).items() if g[2]}
-    left = {d: left[d] for d, g in brute.near_components(list(left.items())).items() if g[1] == d}
+    left = {d: left[d] for d, head in test_shingles.brute(list(left.items())).items() if head == d}
     taken = {r.doc_id: r.repeats for r in mixing.mix(start.where(start.doc_id.isin(list(left)))).collect()}
     vocab = pieces.read_vocabulary()
     want = Counter({(d, tuple(pieces.Encoder(vocab).encode(left[d])[0])): n for d, n in taken.items() if n})
