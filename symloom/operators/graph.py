@@ -112,28 +112,51 @@ def closure(edge_rows: DataFrame, starts: DataFrame, parent: str = "parent", chi
         out = out.unionByName(level)
 
 
-def ancestor_path(groups: DataFrame, key: str = "id", parent: str = "parent_id", name: str = "name") -> DataFrame:
-    """(id, path, depth): names from the root down to each row, cycles cut.
+def reachable(edge_rows: DataFrame, starts: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """(root, node, depth, via): what each start reaches, once, with its least depth and the smallest predecessor there.
 
-    All rows climb one step per round; rows that reached the top leave.
+    Each round joins only the pairs that are new, and drops those known from
+    any earlier round, so there is one row per start and node however many
+    paths lead there, and cycles end by themselves. ``closure`` lists paths.
     """
-    table = groups.select(F.col(key).alias("_up"), F.col(parent).alias("_next"), F.col(name).alias("_name"))
-    climbing = cut_lineage(groups.select(F.col(key).alias("id"), F.col(parent).alias("_up"),
-                                         F.array(key).alias("_ids"), F.array(name).alias("path")))
-    done = None
+    table = edge_rows.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).distinct()
+    new = cut_lineage(starts.select("node").distinct().select(
+        F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.col("node").alias("via")))
+    known = new.withColumn("via", F.when(F.lit(False), F.col("via")))
+    while True:
+        step = (new.withColumnRenamed("node", "_from").join(table, "_from")
+                .groupBy("root", F.col("_to").alias("node")).agg((F.min("depth") + 1).alias("depth"), F.min("_from").alias("via")))
+        new = cut_lineage(step.join(known.select("root", "node"), ["root", "node"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+
+
+def ancestor_path(groups: DataFrame, key: str = "id", parent: str = "parent_id", name: str = "name",
+                  rounds: list | None = None) -> DataFrame:
+    """(id, path, depth): names from the root down to each row, cycles cut; ``key`` is unique.
+
+    Pointer doubling: per round each row takes over what the ancestor at the
+    end of its climb has climbed so far, and goes on from that one's end, so a
+    chain of n takes about log2(n) rounds. A climb that meets itself ends in
+    front of what it has met. ``rounds``, if given, gets an entry per round.
+    """
+    rows = cut_lineage(groups.select(F.col(key).alias("id"), F.col(parent).alias("_up"),
+                                     F.array(key).alias("_ids"), F.array(name).alias("_names")))
     while True:
-        top = climbing.where("_up is null").select("id", "path")
-        done = top if done is None else done.unionByName(top)
-        active = climbing.where("_up is not null")
+        active = rows.where("_up is not null")
         if active.isEmpty():
-            return done.withColumn("depth", F.size("path") - 1)
-        step = salted_join(active, table, "_up", F.col("id"), "left")
-        looped = F.array_contains("_ids", F.col("_up")) | F.col("_name").isNull()
-        climbing = cut_lineage(step.select(
-            "id", F.when(looped, None).otherwise(F.col("_next")).alias("_next_up"),
-            F.when(looped, F.col("_ids")).otherwise(F.concat("_ids", F.array("_up"))).alias("_ids"),
-            F.when(looped, F.col("path")).otherwise(F.concat(F.array("_name"), "path")).alias("path"))
-            .withColumnRenamed("_next_up", "_up"))
+            return rows.select("id", F.reverse("_names").alias("path"), (F.size("_names") - 1).alias("depth"))
+        if rounds is not None:
+            rounds.append(len(rounds) + 1)
+        table = rows.select(F.col("id").alias("_up"), F.col("_up").alias("_next"), F.col("_ids").alias("_more"), F.col("_names").alias("_labels"))
+        looped = F.arrays_overlap("_ids", "_more")
+        first = F.array_min(F.transform(F.array_intersect("_more", "_ids"), lambda x: F.array_position("_more", x)))
+        take = F.when(looped, first - 1).otherwise(F.size("_more")).cast("int")
+        added = [F.when(F.col(more).isNull(), F.col(own)).otherwise(F.concat(own, F.slice(more, F.lit(1), take))).alias(own)
+                 for own, more in (("_ids", "_more"), ("_names", "_labels"))]
+        step = active.join(table, "_up", "left").select("id", F.when(F.coalesce(looped, F.lit(True)), None).otherwise(F.col("_next")).alias("_up"), *added)
+        rows = cut_lineage(rows.where("_up is null").unionByName(step))
 
 
 _NODE_TEXT = T.StructType([

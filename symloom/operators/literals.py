@@ -29,8 +29,6 @@ def _or(words: list[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
-# Calls in calls before a literal on its line; deeper ones only blur which callee it belongs to.
-CLOSED_CALLS = 8
 _OPEN_ARGS = r"\s*\([^()]*$"
 _SOME_VIEW = r"(?:->|:)\s*some\s+(?:\w+\.)*View\b"
 _CONTAINER = rf"(?i)\b{_or(CONTAINERS)}\b[^{{}}]*\{{"
@@ -38,6 +36,22 @@ _SCOPE = rf"\bfunc\s+\w+|{_SOME_VIEW}|{_CONTAINER}"
 _TYPE = r"^\s*(?:@[\w:]+(?:\([^)]*\))?\s*)*(?:\w+\s+)*(?:class|struct|enum|actor|extension|protocol)\s+\w+"
 
 
+def without_closed_calls(text: Column) -> Column:
+    """``text`` without the arguments of calls that it closes, nested to any depth: what stands before each bracket still open, and in it.
+
+    The parts go along a stack with an entry per open bracket; a closing one
+    drops the last entry, or stays in the text where none is open.
+    """
+    def put(stack: Column, part: Column) -> Column:
+        outer, top = F.slice(stack, F.lit(1), F.size(stack) - 1), F.element_at(stack, -1)
+        return (F.when(part == "(", F.concat(stack, F.array(F.lit(""))))
+                .when((part == ")") & (F.size(stack) > 1), outer)
+                .otherwise(F.concat(outer, F.array(F.concat(top, part)))))
+
+    parts = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), F.lit(0))
+    return F.when(text.contains(")"), F.array_join(F.aggregate(parts, F.array(F.lit("")), put), "(")).otherwise(text)
+
+
 def swift_reasons(value: Column, before: Column, line: Column, scopes: Column, main_type: Column, at_top: Column) -> Column:
     """Array of the reasons why a literal must stay, from its line and enclosing headers."""
     inner = F.trim(names.unquote(value))
@@ -119,17 +133,19 @@ def literal_table(files: DataFrame, profile: str = "swift", text: str = "text",
 
             def before(p: Column) -> Column:
                 """The line up to the literal, without closed calls, behind the callee of the call that is open there."""
-                own = F.array_join(F.slice(gaps, F.lit(1), p["ordinal"] + 1), '""')
-                for _ in range(CLOSED_CALLS):
-                    own = F.regexp_replace(own, r"\([^()]*\)", "")
+                own = p["own"]
                 up = F.size(open_) - F.regexp_count(own, F.lit(r"\)"))
                 at = F.split(F.get(open_, up - 1), ":")
                 callee = F.get(F.split(F.get("_b", F.get(at, F.lit(0)).cast("int")), "[()]"), F.get(at, F.lit(1)).cast("int"))
                 return F.when(own.contains("(") | (up < 1), own).otherwise(F.concat(callee, F.lit("("), F.regexp_replace(own, r"^.*\)", "")))
 
-            lits = F.transform(parts(x["s"]), lambda p: F.struct(
+            # One transform after the other, so that each value is computed once per literal.
+            lits = F.transform(parts(x["s"]), lambda p: F.struct(p["ordinal"].alias("ordinal"), p["value"].alias("value"), without_closed_calls(
+                F.array_join(F.slice(gaps, F.lit(1), p["ordinal"] + 1), '""')).alias("own")))
+            lits = F.transform(lits, lambda p: F.struct(p["ordinal"].alias("ordinal"), p["value"].alias("value"), before(p).alias("before")))
+            lits = F.transform(lits, lambda p: F.struct(
                 p["ordinal"].alias("ordinal"), p["value"].alias("value"),
-                swift_reasons(p["value"], before(p), x["s"], scopes, main_type, at_top).alias("reasons")))
+                swift_reasons(p["value"], p["before"], x["s"], scopes, main_type, at_top).alias("reasons")))
             return F.when(x["s"].contains('"'), F.struct(x["no"].alias("line_no"), x["s"].alias("line"), lits.alias("_l")))
 
         rows = (located.select(*kept, F.explode(F.filter(F.transform(z, row), lambda r: r.isNotNull())).alias("r"))

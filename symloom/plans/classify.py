@@ -12,9 +12,9 @@ from symloom.session import cut_lineage
 def symbol_tree(nodes: DataFrame) -> DataFrame:
     """(root_id, node_id): every type and all that adopts or extends it, itself included."""
     linked = graph.link_parents(graph.edges(nodes), nodes).where("parent_id is not null")
-    tree = graph.closure(linked.select(F.col("parent_id").alias("parent"), F.col("child_id").alias("child")),
-                         nodes.select(F.col("node_id").alias("node")))
-    return tree.select(F.col("root").alias("root_id"), F.col("node").alias("node_id")).distinct()
+    tree = graph.reachable(linked.select(F.col("parent_id").alias("parent"), F.col("child_id").alias("child")),
+                           nodes.select(F.col("node_id").alias("node")))
+    return tree.select(F.col("root").alias("root_id"), F.col("node").alias("node_id"))
 
 
 def exception_reasons(nodes: DataFrame, ext_nodes: DataFrame, ext_members: DataFrame, sdk: DataFrame,

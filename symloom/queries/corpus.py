@@ -158,16 +158,20 @@ def nested_node_files(spark, sf):
 
 
 @query("pools_and_clusters", """
-    SELECT 'property' AS kind, 'pool' AS origin, p_name AS name, CAST(NULL AS STRING) AS tokens FROM (SELECT DISTINCT p_name FROM part)
-    UNION ALL SELECT 'property', 'cluster', s_name, s_name || '|x' FROM supplier""")
+    SELECT 'property' AS kind, 'pool' AS origin, p_name AS name, CAST(NULL AS STRING) AS tokens, CAST(NULL AS STRING) AS members, CAST(NULL AS BIGINT) AS cluster_id FROM (SELECT DISTINCT p_name FROM part)
+    UNION ALL SELECT 'property', 'cluster', s_name, s_name || '|x', s_name || '|' || CAST(s_nationkey AS STRING), row_number() OVER (ORDER BY s_suppkey) - 1 FROM supplier""")
 def pools_and_clusters(spark, sf):
-    """A name pool and a cluster index are written as files and read for a kind that shares those of another."""
+    """A name pool and a cluster index of several files are written and read for a kind that shares those of another."""
     from symloom.sources import lists as ls
 
     folder = new_folder(spark, "pools")
     table(spark, sf, "part").select(F.col("p_name").alias("value")).distinct().write.text(f"{folder}/buckets_pool_variable.txt")
-    cluster = table(spark, sf, "supplier").select(F.col("s_name").alias("rep"), F.array("s_name", F.lit("x")).alias("tokens"), F.array("s_name").alias("members"))
+    ordered = table(spark, sf, "supplier").repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey")
+    cluster = ordered.select(F.col("s_name").alias("rep"), F.array("s_name", F.lit("x")).alias("tokens"),
+                             F.array("s_name", F.col("s_nationkey").cast("string")).alias("members"))
     cluster.write.json(f"{folder}/cluster_index_variable.json")
-    pool = ls.read_pool(spark, folder, ["property"]).select("kind", F.lit("pool").alias("origin"), "name", F.lit(None).cast("string").alias("tokens"))
+    pool = ls.read_pool(spark, folder, ["property"]).select("kind", F.lit("pool").alias("origin"), "name", F.lit(None).cast("string").alias("tokens"),
+                                                            F.lit(None).cast("string").alias("members"), F.lit(None).cast("long").alias("cluster_id"))
     return pool.unionByName(ls.read_clusters(spark, folder, ["property"], lines=True).select(
-        "kind", F.lit("cluster").alias("origin"), F.col("rep").alias("name"), F.array_join("tokens", "|").alias("tokens")))
+        "kind", F.lit("cluster").alias("origin"), F.col("rep").alias("name"), F.array_join("tokens", "|").alias("tokens"),
+        F.array_join("members", "|").alias("members"), "cluster_id"))

@@ -138,8 +138,8 @@ def _ext(spark, sf):
 
 def _tree(nodes):
     edges = g.link_parents(g.edges(nodes), nodes).where("parent_id is not null")
-    tree = g.closure(edges.select(F.col("parent_id").alias("parent"), F.col("child_id").alias("child")), nodes.select(F.col("node_id").alias("node")))
-    return tree.select(F.col("root").alias("root_id"), F.col("node").alias("node_id")).distinct()
+    tree = g.reachable(edges.select(F.col("parent_id").alias("parent"), F.col("child_id").alias("child")), nodes.select(F.col("node_id").alias("node")))
+    return tree.select(F.col("root").alias("root_id"), F.col("node").alias("node_id"))
 
 
 @query("match_external", f"""
@@ -254,6 +254,24 @@ def cyclic_closure(spark, sf):
     return g.closure(e, e.select(F.col("parent").alias("node"))).select("root", "node", "depth")
 
 
+# Twelve diamonds in a row per 37 parts: a top, two sides, the next top. 16,381 paths start at the first top, to 37 nodes.
+_LATTICE = """lattice AS (SELECT p_partkey AS a, unnest(CASE p_partkey % 37 % 3 WHEN 0 THEN [p_partkey + 1, p_partkey + 2] WHEN 1 THEN [p_partkey + 2] ELSE [p_partkey + 1] END) AS b FROM part WHERE p_partkey % 37 < 36)"""
+
+
+@query("reachable_nodes", f"""
+    WITH RECURSIVE {_LATTICE}, t AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION SELECT root, b, depth + 1 FROM t JOIN lattice ON node = a),
+    least AS (SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node)
+    SELECT l.root, l.node, l.depth, min(p.node) AS via FROM least l LEFT JOIN lattice e ON e.b = l.node LEFT JOIN least p ON p.root = l.root AND p.node = e.a AND p.depth = l.depth - 1
+    GROUP BY l.root, l.node, l.depth""")
+def reachable_nodes(spark, sf):
+    """Every part of a lattice of diamonds with what lies below it, once."""
+    key, at = F.col("p_partkey"), F.col("p_partkey") % 37
+    part = table(spark, sf, "part")
+    below = F.when(at % 3 == 0, F.array(key + 1, key + 2)).when(at % 3 == 1, F.array(key + 2)).otherwise(F.array(key + 1))
+    edges = part.where(at < 36).select(key.alias("parent"), F.explode(below).alias("child"))
+    return g.reachable(edges, part.select(key.alias("node")))
+
+
 _GROUPS = """groups AS (SELECT 'R' || CAST(r_regionkey AS STRING) AS id, CAST(NULL AS STRING) AS parent_id, r_name AS name FROM region
     UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), n_name FROM nation
     UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), 'N' || CAST(c_nationkey AS STRING), c_name FROM customer)"""
@@ -293,6 +311,6 @@ def flattened_members(spark, sf):
 def rerooted_tree(spark, sf):
     """Only two of the regions are declared; the nations of the others become roots."""
     edges = key_edges(spark, sf)
-    tree = g.closure(edges, g.roots(edges)).select("root", "node", "depth")
+    tree = g.reachable(edges, g.roots(edges)).select("root", "node", "depth")
     declared = table(spark, sf, "region").where("r_regionkey < 2").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("name"))
     return g.reroot(tree, declared)

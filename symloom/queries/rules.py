@@ -273,3 +273,13 @@ def kept_literals_second(spark, sf):
       {{'line_no': 42, 'name': 'marked' || {_K}, 'insert_before': false}}], recursive := true) FROM part WHERE {_WHOLE}""")
 def eligible_function_lines(spark, sf):
     return scopes.eligible_function_lines(second_files(spark, sf).select("file_id", "text")).select("file_id", "line_no", "name", "insert_before")
+
+
+@query("nested_call_reasons", """
+    SELECT p_partkey AS file_id, 2 AS line_no, 'debug' AS reason FROM part""")
+def nested_call_reasons(spark, sf):
+    """Literals behind calls nested up to fourteen deep, each with the reason of the call that is still open."""
+    nest = F.concat(F.expr("repeat('f(', cast(p_partkey % 15 as int))"), F.expr("repeat(')', cast(p_partkey % 15 as int))"))
+    text = F.concat(F.lit("func g() {\n  print("), nest, F.lit(', "some text")\n  print('), nest, F.lit('); h("other text")\n}'))
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), text.alias("text"))
+    return lit.literal_reasons(lit.literal_table(files, "swift", keep=["file_id"]), ["file_id"])

@@ -231,9 +231,9 @@ def calls_in_pages(spark, sf):
 
 
 @query("user_defined_calls", """
-    SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'dump' ELSE 'assert' END AS name FROM part WHERE p_size % 4 < 2""")
+    SELECT DISTINCT CASE p_size % 8 WHEN 0 THEN 'dump' WHEN 4 THEN 'NSLog' WHEN 5 THEN 'assertionFailure' WHEN 6 THEN 'debugPrint' ELSE 'assert' END AS name FROM part WHERE p_size % 8 NOT IN (2, 3)""")
 def user_defined_calls(spark, sf):
-    text = F.expr(render("class A {\n  <<CASE p_size % 4 WHEN 0 THEN 'static func dump' WHEN 1 THEN 'private func assert' WHEN 2 THEN 'func other' ELSE '// func print' END>>(x: Int) { }\n}"))
+    text = F.expr(render("class A {\n  <<CASE p_size % 8 WHEN 0 THEN 'static func dump' WHEN 1 THEN 'private func assert' WHEN 2 THEN 'func other' WHEN 4 THEN 'open func NSLog' WHEN 5 THEN 'override func assertionFailure' WHEN 6 THEN '@objc static func debugPrint' WHEN 7 THEN 'static public func assert' ELSE '// func print' END>>(x: Int) { }\n}"))
     return rewrite.user_defined(table(spark, sf, "part").select(text.alias("text")))
 
 

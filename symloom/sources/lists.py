@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symloom import schemas
+from symloom.functions.scan import dense_index
 
 KINDS = ["class", "struct", "enum", "protocol", "extension", "typealias", "function", "variable", "property"]
 SECTIONS = {"project": ["input", "output", "build_target"],
@@ -104,9 +105,10 @@ def read_pool(spark: SparkSession, directory: str, kinds: Iterable[str]) -> Data
 
 
 def read_clusters(spark: SparkSession, directory: str, kinds: Iterable[str], lines: bool = False) -> DataFrame:
-    """Cluster index per kind, one row per entry of the index; the position in the file is the cluster order.
+    """Cluster index per kind, one row per entry of the index, numbered 0, 1, 2, … by file and place in it.
 
-    An index is one JSON list, or with ``lines`` one entry per line in any number of files.
+    An index is one JSON list, or with ``lines`` one entry per line in any
+    number of files, of any size: Spark may cut a file anywhere.
     """
     entry = T.StructType([
         T.StructField("rep", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())),
@@ -114,9 +116,12 @@ def read_clusters(spark: SparkSession, directory: str, kinds: Iterable[str], lin
     out = None
     for kind in kinds:
         stem = "variable" if kind == "property" else kind
-        # The reader hands on entry by entry, so row numbers follow the order of the file.
         rows = spark.read.schema(entry).option("multiLine", not lines).json(f"{directory}/cluster_index_{stem}.json")
-        part = rows.select(F.lit(kind).alias("kind"), F.monotonically_increasing_id().alias("cluster_id"), "rep", "tokens", "members")
+        # Inside a cut of a file the reader hands on entry by entry, so row numbers follow the order there.
+        placed = rows.select("rep", "tokens", "members", F.col("_metadata.file_path").alias("_file"),
+                             F.col("_metadata.file_block_start").alias("_cut"), F.monotonically_increasing_id().alias("_row"))
+        numbered = dense_index(placed, [F.col("_file"), F.col("_cut"), F.col("_row")], "cluster_id")
+        part = numbered.select(F.lit(kind).alias("kind"), "cluster_id", "rep", "tokens", "members")
         out = part if out is None else out.unionByName(part)
     return out
 

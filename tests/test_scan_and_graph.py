@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -112,3 +113,34 @@ def test_names_link_within_their_project(spark):
     assert got == {3: 2, 4: None}
     flagged = nodes.withColumn("is_exception", (F.col("node_id") == 1).cast("int"))
     assert {tuple(r) for r in flags.renameable(flagged).collect()} == {("B", "class", "Base"), ("B", "class", "Kid"), ("C", "class", "Kid")}
+
+
+def test_reachable_has_a_row_per_root_and_node(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), ("a", "d")], "parent string, child string")
+    starts = spark.createDataFrame([("a",), ("a",), ("x",), ("lone",)], "node string")
+    got = sorted(map(tuple, graph.reachable(e, starts).collect()))
+    assert got == [("a", "a", 0, None), ("a", "b", 1, "a"), ("a", "c", 2, "b"), ("a", "d", 1, "a"), ("lone", "lone", 0, None), ("x", "x", 0, None)]
+    assert graph.reachable(e, starts.limit(0)).count() == 0
+
+
+def test_long_chains_take_few_rounds(spark):
+    n = 2000
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("n").alias("name"))
+    rounds = []
+    got = graph.ancestor_path(chain, rounds=rounds)
+    assert got.agg(F.sum("depth"), F.max("depth"), F.count("*")).first()[:] == (n * (n - 1) // 2, n - 1, n)
+    assert len(rounds) <= math.ceil(math.log2(n)) + 1
+
+
+def test_climbs_into_cycles_equal_plain_climbs(spark):
+    rng = random.Random(4)
+    up = {i: rng.choice([None, rng.randrange(60), rng.randrange(60), 99]) for i in range(60)}
+    g = spark.createDataFrame([(i, u, f"n{i}") for i, u in up.items()], "id int, parent_id int, name string")
+    want = {}
+    for i in up:
+        seen, at = [], i
+        while at in up and at not in seen:
+            seen.append(at)
+            at = up[at]
+        want[i] = [f"n{x}" for x in reversed(seen)]
+    assert {r["id"]: r["path"] for r in graph.ancestor_path(g).collect()} == want
