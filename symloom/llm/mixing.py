@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.scan import dense_index
 from symloom.llm.common import checked_broadcast, fresh, word_count, written
 
 WEIGHTS = (5, 2, 1)
@@ -12,6 +13,11 @@ LIMIT = 3
 SHARDS = 24
 SEATS = 1024
 SEED = "7"
+# Sources whose targets lie within this factor of each other share blocks of one size, at least so many turns of all shards a source.
+SPAN = 4
+TURNS = 4
+# How often a target fits below the largest one, in powers of SPAN: exact in doubles, so SQL tells the same.
+DEAL = " + ".join(f"CAST(target * {SPAN ** k}e0 <= top AS INT)" for k in range(1, 27))
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -41,28 +47,53 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit
     return steps.withColumn("target", F.coalesce(target, F.lit(0.0))).drop("level", "place")
 
 
+def deals(sources: DataFrame, shards: int = SHARDS, seats: int = SEATS) -> DataFrame:
+    """Add ``deal``, ``n_blocks`` and ``block`` to (source, target): which sources are dealt blocks together, how many and how large.
+
+    With blocks of one size for all, a source below half a block would get
+    nothing. So sources are parted by size: those whose targets are within a
+    factor of ``SPAN``. Every deal has at least ``seats`` blocks a shard, and at least
+    ``TURNS`` a shard for each of its sources, so its smallest source is worth
+    ``shards * TURNS / SPAN`` blocks or more, whatever the corpus. Without a target: no deal.
+    """
+    top = Window.partitionBy()
+    spec = Window.partitionBy("deal")
+    by_size = spec.orderBy("target", F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (sources.withColumn("top", F.max("target").over(top))
+            .withColumn("deal", F.when(F.col("target") > 0, F.expr(DEAL))).drop("top")
+            .withColumn("n_blocks", F.greatest(F.lit(seats), F.count("*").over(spec) * TURNS).cast("long") * shards)
+            .withColumn("block", F.round(F.sum("target").over(by_size), 3) / F.col("n_blocks")))
+
+
 def apportion(sources: DataFrame, shards: int = SHARDS, seats: int = SEATS) -> DataFrame:
-    """Deal ``shards * seats`` equal blocks to (source, target) by highest quotients.
+    """Deal the ``n_blocks`` equal blocks of every deal to (source, target, deal, n_blocks) by highest quotients.
+
+    Without the column ``deal``, all sources share ``shards * seats`` blocks.
 
     Every source has the quotients target / 1, target / 3, target / 5, … and the
-    highest ones get a block each; ties go to the earlier source. The n-th
+    highest ones of its deal get a block each; ties go to the earlier source. The n-th
     quotient goes to shard n mod ``shards``, so every shard has integer quotas
     close to the weights. Returns (source, pick, shard): the source's blocks
     numbered from 0. No source can gain more than half a block per rival over
     its proportional share, which bounds the quotients to look at by the
-    number of blocks plus twice the number of sources.
+    number of blocks plus twice the number of sources. They are numbered by
+    range partition, not in one task.
     """
-    total = shards * seats
-    everything = Window.partitionBy()
-    share = F.col("target") * total / F.sum("target").over(everything)
-    reach = F.ceil(share * (1 + F.count("*").over(everything) / F.lit(2.0 * total)) + 0.5).cast("long")
+    if "deal" not in sources.columns:
+        sources = sources.withColumns({"deal": F.lit(0), "n_blocks": F.lit(shards * seats).cast("long")})
+    together = Window.partitionBy("deal")
+    share = F.col("target") * F.col("n_blocks") / F.sum("target").over(together)
+    reach = F.ceil(share * (1 + F.count("*").over(together) / (2.0 * F.col("n_blocks"))) + 0.5).cast("long")
     quotients = (sources.where("target > 0").withColumn("reach", reach)
-                 .select("source", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reach"))).alias("pick"))
+                 .select("deal", "n_blocks", "source", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reach"))).alias("pick"))
                  .withColumn("quotient", F.col("target") / (2 * F.col("pick") + 1)))
-    order = [F.col("quotient").desc(), F.col("source").isNull(), F.col("source"), F.col("pick")]
-    won = quotients.orderBy(*order).limit(total)
-    rank = F.row_number().over(Window.orderBy(*order)) - 1
-    return won.select("source", "pick", F.pmod(rank, F.lit(shards)).cast("int").alias("shard"))
+    order = [F.col("deal"), F.col("quotient").desc(), F.col("source").isNull(), F.col("source"), F.col("pick")]
+    ranked = dense_index(quotients, order, "rank")
+    # There are at most 27 deals.
+    first = F.broadcast(ranked.groupBy(F.col("deal").alias("_deal")).agg(F.min("rank").alias("first")))
+    place = F.col("rank") - F.col("first")
+    return (ranked.join(first, F.col("deal") == F.col("_deal")).where(place < F.col("n_blocks"))
+            .select("source", "pick", F.pmod(place, F.lit(shards)).cast("int").alias("shard")))
 
 
 def stream_positions(rows: DataFrame, seed: str = SEED) -> DataFrame:
@@ -95,8 +126,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     """One row per document: doc_id, source, size, source_size, target, taken, repeats, shard, row_no.
 
     ``docs`` has doc_id, text and source. The mix has as many words as all
-    documents. It is cut into ``shards * seats`` blocks of equal words, which
-    sources win by highest quotients (``apportion``). A source's documents
+    documents. Sources of about one size are dealt blocks of equal words
+    together (``deals``), which they win by highest quotients (``apportion``), so
+    a source of any size gets within half a small block of its target. A source's documents
     stand in an order set by ``seed``; its blocks are read from that stream,
     from its start again when it ends. ``repeats`` counts how often the stream
     passes a document; one that a last block cuts is taken if more than half of
@@ -111,14 +143,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
                                text_size.alias("size"))
                    .withColumn("row_no", F.monotonically_increasing_id()), "mix-sizes")
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = written(source_targets(totals, weights, limit), "mix-sources")
-    won = written(apportion(sources, shards, seats), "mix-blocks")
-    everything = Window.partitionBy()
+    sources = written(deals(source_targets(totals, weights, limit), shards, seats), "mix-sources")
+    won = written(apportion(sources, shards), "mix-blocks")
     quota = won.groupBy("source").agg(F.count("*").alias("blocks"))
-    block = F.sum("source_size").over(everything) / F.lit(float(shards * seats))
     words = F.least(F.round(F.coalesce("blocks", F.lit(0)) * F.col("block")).cast("long"), F.col("source_size") * limit)
-    plan = (sources.withColumn("block", block)
-            .join(quota.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    plan = (sources.join(quota.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
             .withColumn("words", words)
             .select("source", "source_size", "target", "block",
                     F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0).alias("passes"),
@@ -159,11 +188,13 @@ l AS (SELECT *, row_number() OVER o AS place, (CAST((SELECT sum(source_size) FRO
       FROM w WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source IS NULL, source)),
 t AS (SELECT source, source_size, coalesce(least(CAST(source_size * {LIMIT} AS DOUBLE),
       (SELECT arg_min(level, place) FROM l WHERE level * weight <= source_size * {LIMIT}) * weight), 0.0) AS target FROM l),
-q AS (SELECT source, target, unnest(range(0, CAST(ceil(target * {SHARDS * SEATS} / (SELECT sum(target) FROM t)
-      * (1 + (SELECT count(*) FROM t) / {2.0 * SHARDS * SEATS}) + 0.5) AS BIGINT) + 1)) AS pick FROM t WHERE target > 0),
-b AS (SELECT source, count(*) AS blocks FROM (SELECT source FROM q ORDER BY target / (2 * pick + 1) DESC, source IS NULL, source, pick LIMIT {SHARDS * SEATS}) GROUP BY source),
-p AS (SELECT t.source, t.source_size, t.target, least(CAST(round(coalesce(b.blocks, 0) * ((SELECT sum(source_size) FROM t) / CAST({SHARDS * SEATS} AS DOUBLE))) AS BIGINT),
-      t.source_size * {LIMIT}) AS words FROM t LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source),
+k AS (SELECT *, CASE WHEN target > 0 THEN {DEAL} END AS deal FROM (SELECT *, max(target) OVER () AS top FROM t)),
+c AS (SELECT deal, CAST(greatest({SEATS}, {TURNS} * count(*)) * {SHARDS} AS BIGINT) AS n_blocks, count(*) AS n, round(sum(target), 3) AS mass FROM k WHERE target > 0 GROUP BY deal),
+q AS (SELECT deal, n_blocks, source, target, unnest(range(0, CAST(ceil(target * n_blocks / mass * (1 + n / (2.0 * n_blocks)) + 0.5) AS BIGINT) + 1)) AS pick FROM k JOIN c USING (deal)),
+b AS (SELECT source, count(*) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY deal ORDER BY target / (2 * pick + 1) DESC, source IS NULL, source, pick) AS place FROM q)
+      WHERE place <= n_blocks GROUP BY source),
+p AS (SELECT k.source, k.source_size, k.target, least(CAST(round(coalesce(b.blocks * (c.mass / c.n_blocks), 0)) AS BIGINT), k.source_size * {LIMIT}) AS words
+      FROM k LEFT JOIN b ON k.source IS NOT DISTINCT FROM b.source LEFT JOIN c ON k.deal = c.deal),
 r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('{SEED}:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
 SELECT r.doc_id, r.size, p.source_size, p.target,
        CASE WHEN r.size > 0 THEN CAST(r.size * (p.words // p.source_size + CASE WHEN 2 * r.start + r.size < 2 * (p.words % p.source_size) THEN 1 ELSE 0 END) AS BIGINT) ELSE 0 END AS taken
