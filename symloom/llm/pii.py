@@ -10,20 +10,42 @@ from symloom.session import hold
 KEY = "symloom-demo-key"
 ROUNDS = 6
 
+# The length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """Country, check digits and as many characters as the country has, in fours or not; other countries: any length."""
+    def body(size: int) -> str:
+        return f"(?: ?[A-Z0-9]{{4}}){{{size // 4}}}" + (f" ?[A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+    known = [f"(?:{names.replace(' ', '|')})[0-9]{{2}}{body(size - 4)}" for size, names in IBAN_LENGTHS.items()]
+    others = f"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return f"(?:{'|'.join(known)}|{others})(?![\\p{{L}}\\p{{N}}])"
+
+
 # What is looked for; the first that matches at a place takes it.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": _iban(),
     "ipv4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_])(?!\.[0-9])",
-    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\p{L}\p{N}_])(?![-/.][0-9])",
+    "date": (r"(?<![0-9]/)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
+             r"(?:(?=T[0-9]{2}:?[0-9]{2})|(?![\p{L}\p{N}_])(?![-/.][0-9]))"),
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}(?<first>[ -])[0-9]{4}\k<first>[0-9]{4}\k<first>[0-9]{1,7}|[0-9]{4}(?<other>[ -])[0-9]{6}\k<other>[0-9]{5})(?![\p{L}\p{N}_])(?!-[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}_])(?!-[0-9])",
+    "phone": (r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+              r"|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?[ .-]?[0-9]{1,4}(?:[ .-][0-9]{1,4}){1,4}|\+[0-9]{8,15})(?![\p{L}\p{N}_])(?!-[0-9])"),
 }
 # A match starts where no word, number or longer expression goes on.
-FOUND = r"(?<![\p{L}\p{N}._%+/-])(" + "|".join(PATTERNS.values()) + ")"
-# Characters that take each other's place: first code point and how many.
-CLASSES = ((48, 10), (65, 26), (97, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8))
+FOUND = r"(?<![\p{L}\p{N}._%+-])(" + "|".join(PATTERNS.values()) + ")"
+# Characters that take each other's place, first code point and how many: digits, then letters by script and, where it has them, case.
+CLASSES = (
+    (48, 10), (65, 26), (97, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3A3, 9), (0x3B1, 17), (0x3C3, 9),
+    (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x531, 38), (0x561, 38), (0x5D0, 27), (0x621, 26), (0x641, 10), (0x904, 54), (0xE01, 48),
+    (0x10D0, 43), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172))
+MOVABLE = "[" + "".join(f"\\x{{{first:x}}}-\\x{{{first + size - 1:x}}}" for first, size in CLASSES) + "]"
 
 
 def _digest(key: str, kind: str, turn: Column, value: Column) -> Column:
@@ -62,14 +84,20 @@ def permuted(value: Column, a: Column, b: Column, kind: str, key: str) -> Column
     return F.aggregate(F.array(out), F.lit(0).cast("long"), lambda _, s: s["left"] * b + s["right"])
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point below 65536."""
+    return F.when(code < 256, F.char(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
+
+
 def permuted_text(text: Column, kind: str, key: str) -> Column:
-    """The same for texts: characters move within their class (digits, letters by case), others stay; both sides are halves of the text."""
+    """The same for texts: characters move within their class (digits, letters by script and case), others stay; both sides are halves of the text."""
+    classes = F.array(*(F.struct(F.lit(first).alias("first"), F.lit(size).alias("size")) for first, size in CLASSES))
+
     def shifted(side: Column, amount) -> Column:
         def move(c: Column, i: Column) -> Column:
-            code, out = F.ascii(c), c
-            for first, size in CLASSES:
-                out = F.when((code >= first) & (code < first + size), F.char(F.pmod(code - first + amount(i), F.lit(size)) + first)).otherwise(out)
-            return out
+            code = F.ascii(c)
+            own = F.filter(classes, lambda k: (code >= k["first"]) & (code < k["first"] + k["size"]))
+            return F.coalesce(F.get(F.transform(own, lambda k: _character(F.pmod(code - k["first"] + amount(i), k["size"]) + k["first"])), F.lit(0)), c)
         return F.array_join(F.transform(F.filter(F.split(side, ""), lambda c: c != ""), move), "")
 
     def by_digest(side: Column, digest: Column, sign: int) -> Column:
@@ -212,13 +240,15 @@ def pseudonym(m: Column, key: str) -> Column:
     parts = _date_parts(m)
     valid_date = let(parts, F.lit(False), lambda p: (p[0] >= 1000) & p[1].between(1, 12) & (p[2] >= 1) & (p[2] <= _days(p[0], p[1])))
     valid_ssn = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    return (F.when(m.contains("@"), value("email", email))
+    # A name without any character that has a class stays, and is not counted; numbers of other lengths are no phone numbers.
+    valid_phone = F.length(number).between(8, 15)
+    return (F.when(m.contains("@"), F.when(name.rlike(MOVABLE), value("email", email)).otherwise(nothing))
             .when(kind_is("iban"), F.when(mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1, value("iban", iban)).otherwise(nothing))
             .when(kind_is("ipv4"), F.when(F.forall(_octets(m), lambda o: o < 256), value("ipv4", ip)).otherwise(nothing))
             .when(kind_is("date"), F.when(valid_date, value("date", _moved_date(m, key))).otherwise(nothing))
             .when(kind_is("ssn"), F.when(valid_ssn, value("ssn", ssn)).otherwise(nothing))
             .when(kind_is("card"), F.when(F.pmod(luhn(number), F.lit(10)) == 0, value("card", card)).otherwise(nothing))
-            .otherwise(value("phone", phone)))
+            .otherwise(F.when(valid_phone, value("phone", phone)).otherwise(nothing)))
 
 
 def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
