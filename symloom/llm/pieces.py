@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, count
 from operator import itemgetter
 
 import ahocorasick
@@ -121,14 +121,19 @@ def n_best(segment: str, vocab: Vocabulary, n: int) -> list[Path]:
     edges = lattice(segment, vocab)
     ahead = forward(edges)
     found: list[Path] = []
-    agenda: list[tuple[int, int, tuple[int, ...], int]] = [(-ahead[-1], len(segment), (), 0)]
+    serial = count()  # settles ties; behind it, every entry has its last edge's ids and the entry's own rest
+    agenda: list[tuple] = [(-ahead[-1], len(segment), 0, 0, None)]
     while agenda and len(found) < n:
-        _, place, ids, score = heapq.heappop(agenda)
+        _, place, _, score, path = heapq.heappop(agenda)
         if place == 0:
-            found.append((score, ids))
+            ids: list[int] = []
+            while path:
+                own, path = path
+                ids += own
+            found.append((score, tuple(ids)))
             continue
         for start, gain, own in edges[place]:
-            heapq.heappush(agenda, (-(ahead[start] + gain + score), start, own + ids, gain + score))
+            heapq.heappush(agenda, (-(ahead[start] + gain + score), start, -next(serial), gain + score, (own, path)))
     return found
 
 
@@ -151,11 +156,11 @@ def best_and_gap(segment: str, vocab: Vocabulary) -> tuple[int, tuple[int, ...],
             best[end], back[end] = score, (start, ids)
         elif score > second[end]:
             second[end] = score
-    ids, place = (), size
+    taken, place = [], size
     while place:
         place, own = back[place]
-        ids = own + ids
-    return best[-1], ids, best[-1] - second[-1] if second[-1] > -NEVER // 2 else NEVER
+        taken.append(own)
+    return best[-1], tuple(chain.from_iterable(reversed(taken))), best[-1] - second[-1] if second[-1] > -NEVER // 2 else NEVER
 
 
 @dataclass
