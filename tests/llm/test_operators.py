@@ -244,25 +244,57 @@ def test_lm_score(spark, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(100, 1, 1), (101, 0, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     rows = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, labels).collect()}
     assert rows[300].score is None and rows[301].score is None and rows[300].n_tokens == 0 and len(rows) == 42
-    assert max(rows[i].score for i in range(20)) < min(rows[100 + i].score for i in range(20))
+    assert max(rows[i].score for i in range(20)) < 0 < min(rows[100 + i].score for i in range(20))
     assert lm_score.cross_entropy_difference(empty, labels).count() == 0
 
 
-def test_lm_counts_and_probabilities(spark):
-    text = "abc abd"
-    models = lm_score.train(table(spark, [(1, text, "s"), (2, "xyz", "s")]), spark.createDataFrame([(1,)], "doc_id long"))
-    assert models.target.sum() == 7 and models.background.sum() == 10
-    target, _ = models.log_probabilities()
-    assert np.allclose(np.exp(target.reshape(-1, 64)).sum(1), 1, atol=1e-4)
-    symbols = [0, 0, 0, *(int(lm_score.ALPHABET[b]) for b in text.encode())]
-    def p(at, order):
-        if order == 0:
-            return 1 / 64
-        context = symbols[at - order + 1:at]
-        hits = [symbols[j] for j in range(3, len(symbols)) if symbols[j - order + 1:j] == context]
-        return (hits.count(symbols[at]) + lm_score.PRIOR * p(at, order - 1)) / (len(hits) + lm_score.PRIOR)
-    want = [np.log(p(i, 4)) for i in range(3, len(symbols))]
-    assert np.allclose(target[lm_score.gram_codes(text.encode())], want, atol=1e-4)
+def word_losses(texts, targets):
+    """Losses of every text under both models, counted word by word."""
+    words = {d: [w.lower() for w in brute.words(t)] for d, t in texts.items()}
+    grams = {d: list(zip([None, *w], w)) for d, w in words.items()}
+    size = len({x for w in words.values() for x in w})
+    own = Counter(g for d in grams if d in targets for g in grams[d])
+    rest = Counter(g for d in grams if d not in targets for g in grams[d])
+    scale = sum(own.values()) / sum(rest.values()) if own and rest else None
+    out = {}
+    for name, counts in (("target", own), ("background", Counter({g: n * scale for g, n in rest.items()}) if scale else own + rest)):
+        total, single, before = sum(counts.values()), Counter(), Counter()
+        for (a, b), n in counts.items():
+            single[b] += n
+            before[a] += n
+        p = lambda a, b: (counts[a, b] + lm_score.PRIOR * (single[b] + lm_score.PRIOR / size) / (total + lm_score.PRIOR)) / (before[a] + lm_score.PRIOR)  # noqa: B023, E731
+        for d, g in grams.items():
+            out[d, name] = -sum(np.log(p(*x)) for x in g) / len(g) if g else None
+    return out, {d: len(w) for d, w in words.items()}
+
+
+@pytest.mark.parametrize("targets", [[], [1, 2, 8], None])
+@pytest.mark.parametrize("sent_out", [True, False])
+def test_lm_losses(spark, odd, targets, sent_out, monkeypatch):
+    if not sent_out:
+        monkeypatch.setattr(lm_score, "GRAM_BYTES", 1 << 40)
+    texts = dict(pairs(odd))
+    targets = list(texts) if targets is None else targets
+    want, sizes = word_losses(texts, set(targets))
+    model = lm_score.train(odd, spark.createDataFrame([(i,) for i in [*targets, None]], "doc_id long"))
+    rows = lm_score.score(odd, model).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == sizes
+    for r in rows:
+        for name, loss in (("target", r.target_loss), ("background", r.background_loss)):
+            assert (loss is None) == (want[r.doc_id, name] is None) and (loss is None or abs(loss - want[r.doc_id, name]) < 1e-9)
+
+
+def test_lm_model_grows_and_repeated_rows(spark, monkeypatch):
+    ids = spark.createDataFrame([(1,)], "doc_id long")
+    few = [(1, "a b A b", "s"), (1, "a b A b", "s"), (2, "b " * 5000 + "x" * 5000, "s"), (None, "a b", "s")]
+    more = few + [(10 + i, f"w{i} v{i}", "s") for i in range(500)]
+    assert lm_score.train(table(spark, few), ids).count() == 6 and lm_score.train(table(spark, more), ids).count() == 6 + 1000
+    rows = lm_score.cross_entropy_difference(table(spark, few), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert sorted(r.n_tokens for r in rows) == [2, 4, 4, 5001]
+    codes = lm_score.word_codes(b"one  Two three\tone " + b"y" * 99 + b" two")
+    monkeypatch.setattr(lm_score, "SLAB", 8)
+    assert (codes == lm_score.word_codes(b"one  Two three\tone " + b"y" * 99 + b" two")).all()
+    assert codes[0] == codes[3] and codes[1] == codes[5] and len(set(codes.tolist())) == 4
 
 
 # 6. Repeated passages
